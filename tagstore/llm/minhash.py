@@ -11,13 +11,14 @@ Candidates are confirmed on full sets of 64-bit shingle hashes.
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MAX_ID, drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, small_batches, stored, text_buffer, word_hashes, word_spans
+from ._common import MAX_ID, drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, small_batches, split, stored, text_buffer, word_hashes, word_spans
 from ._graph import components
 
 SYMBOLS, CHUNKS = 64, 16
 SHINGLE, SIMILAR = 5, (75, 100)
-FARTHEST = 44  # differing symbols beyond which a candidate is not confirmed: at 0.75 that has a probability below 1e-13
+FARTHEST = 36  # differing symbols beyond which a candidate is not confirmed: at 0.75 that has a probability below 1e-7
 BROADCAST_IDS = 4_000_000
+CROWD, BLOCK = 100, 512  # members of a crowded key; documents of a block in which a crowd is compared
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _MUL = (_rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -122,6 +123,114 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _shared_with_others(rows: DataFrame) -> DataFrame:
+    """id, c, and shared: how many of the set's shingles some row of another component has, too.
+
+    No row of another component can share more. Groups of rows report each shingle once, with
+    the smallest and largest component, so a common shingle has no more reports than groups.
+    """
+    import pyarrow as pa
+
+    groups = partitions(rows.sparkSession)
+    dealt = rows.select("id", "c", "set", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("p"))
+
+    def flat(table):
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
+
+    def report(table):
+        h, n = flat(table)
+        c = np.repeat(np.asarray(table.column("c")), n)
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(h)) - 1
+        known = h[first]
+        cols = [known, c[first], c[last]]
+        made = [(b, *[x[at].tobytes() for x in cols]) for b, at in split(known, groups)]
+        p = table.column("p")[0].as_py()
+        return pa.table({"bucket": pa.array([m[0] for m in made], pa.int32()), "p": pa.array([p] * len(made), pa.int32()), **{k: pa.array([m[i] for m in made], pa.binary()) for i, k in ((1, "h"), (2, "lo"), (3, "hi"))}})
+
+    def common(table):
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("h")]
+        h = np.concatenate(parts)
+        lo, hi = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)]) for k in ("lo", "hi"))
+        values, at = np.unique(h, return_inverse=True)
+        least, most = np.full(len(values), MAX_ID), np.full(len(values), -(2**63))
+        np.minimum.at(least, at, lo)
+        np.maximum.at(most, at, hi)
+        several = values[least < most]
+        out = [(p, x[np.isin(x, several)].tobytes()) for p, x in zip(table.column("p").to_pylist(), parts)]
+        return pa.table({"p": pa.array([o[0] for o in out], pa.int32()), "h": pa.array([o[1] for o in out], pa.binary())})
+
+    def count(left, right):
+        if not left.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "shared": pa.array([], pa.int64())})
+        h, n = flat(left)
+        known = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("h")]])
+        total = np.append(0, np.cumsum(np.isin(h, known)))
+        ends = np.cumsum(n)
+        return pa.table({"id": left.column("id"), "c": left.column("c"), "shared": pa.array(total[ends] - total[ends - n], pa.int64())})
+
+    by = dealt.groupBy("p")
+    back = by.applyInArrow(report, "bucket int, p int, h binary, lo binary, hi binary").groupBy("bucket").applyInArrow(common, "p int, h binary")
+    return by.cogroup(back.groupBy("p")).applyInArrow(count, "id long, c long, shared long")
+
+
+def _confirm_crowds(members: DataFrame, similar) -> DataFrame:
+    """Links (a, b) between components within each crowd, a set of documents that meet under crowded keys.
+
+    A crowd is cut into blocks, and each pair of blocks is one task: it holds two blocks of sets at
+    most, compares signatures of documents of different components, confirms those within the
+    distance on full sets, and skips what it has linked already. No pairs are written but links.
+    """
+    import pyarrow as pa
+
+    num, den = similar
+    blocks = members.groupBy("crowd").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "crowd").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(table):
+        table = table.sort_by("id")
+        ids, own = np.asarray(table.column("id")), np.asarray(table.column("own"))
+        shared = np.asarray(table.column("shared"))
+        comp = np.unique(np.asarray(table.column("c")), return_inverse=True)[1]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("set")]
+        size = np.array([len(x) for x in sets])
+        sig = np.array(table.column("sig").to_pylist(), np.int64).view(np.uint16)
+        inside = bool((own == own[0]).all())
+        parent = list(range(int(comp.max()) + 1))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x in range(len(ids)):
+            y = np.arange(x + 1, len(ids))
+            ok = (comp[y] != comp[x]) & (np.minimum(shared[y], shared[x]) * (num + den) >= (size[y] + size[x]) * num) & (np.minimum(size[y], size[x]) * den >= np.maximum(size[y], size[x]) * num)
+            if not inside:
+                ok &= own[y] != own[x]
+            y = y[ok]
+            if not len(y):
+                continue
+            far = (sig[y] != sig[x]).sum(1)
+            y = y[far <= FARTHEST][np.argsort(far[far <= FARTHEST], kind="stable")]
+            for z in y.tolist():
+                p, q = find(comp[x]), find(comp[z])
+                if p != q:
+                    n = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                    if den * n >= num * (size[x] + size[z] - n):
+                        parent[max(p, q)] = min(p, q)
+                        out.append((ids[x], ids[z]))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return dealt.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def _near(x, y):
     """Whether two signatures differ in at most FARTHEST symbols; sizes must allow the similarity."""
     differ = F.aggregate(
@@ -135,11 +244,16 @@ def _near(x, y):
 def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    Equal sets are one class and stand as its smallest doc_id. First each class is compared with
-    the smallest class under each of its keys; the components of confirmed links leave few keys
-    that still hold several components, and only there all pairs of different components are
-    compared. Pairs within a component need no comparison. Rows of one doc_id share a component;
-    a null doc_id counts as larger than all others. Rows without words are linked with nothing.
+    Equal sets are one class and stand as its smallest doc_id. Each class is compared with one
+    leader, of the smallest classes under its keys the one it shares most keys with; the
+    components of confirmed links leave few keys that still hold several components. In a second
+    round the leader of such a key is its class with the largest share of shingles that other
+    components have, too, which in a large group is the text that the others were made from. Under the
+    keys that are still open all pairs of different components are candidates, by a join or, for
+    documents that meet under crowded keys, block by block, if their sizes, their
+    signatures and the numbers of shingles shared with other components allow the similarity. Pairs
+    within a component need no comparison. Rows of one doc_id share a component; a null doc_id
+    counts as larger than all others. Rows without words are linked with nothing.
     """
     spark = docs.sparkSession
     num, den = similar
@@ -162,19 +276,36 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
         both = pairs.join(a, "a").join(b, "b")
         return both.filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & _near("sa", "sb")).select("a", "b")
 
-    pairs = stored(spark, fits(met.filter("first < id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
     sets = stored(spark, full_sets(docs, met.select("id").distinct()).dropDuplicates(["id"]), "sets")
-    links = stored(spark, _confirm(pairs, sets, similar), "links")
-    drop_unused_shuffles(spark)
-    named = components(spark, links)
-    of = met.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    rest = stored(spark, of.join(open_keys, "key", "left_semi").join(small, "id"), "open")
-    left = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    more = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & _near("sa", "sb"))
-    more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    led = met.filter("first < id").select("id", "first")
+    links = named = None
+    for more in (True, False):
+        led = led.groupBy("id", "first").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("x"))
+        led = led.select(F.least(-F.col("x.f"), "id").alias("a"), F.greatest(-F.col("x.f"), "id").alias("b")).distinct()
+        found = stored(spark, _confirm(fits(led), sets, similar), "links")
+        links = found if links is None else links.unionByName(found)
+        drop_unused_shuffles(spark)
+        named = components(spark, links)
+        of = met.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        open_keys = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+        rest = stored(spark, of.join(open_keys, "key", "left_semi"), "open")
+        shared = _shared_with_others(rest.select("id", "c").distinct().join(sets, "id")).join(small, "id").filter(F.col("shared") * den >= F.col("n") * num)
+        rest = rest.select("key", "id").join(stored(spark, shared, "possible"), "id")
+        if more:
+            hub = rest.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("id")).alias("f"), "c")).alias("hub"))
+            led = rest.select("key", "id", "c").join(hub, "key").filter("c <> hub.c").select("id", (-F.col("hub.f")).alias("first"))
+    crowded = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("b")).filter(F.col("m") > CROWD).select("key", "b")
+    crowds = components(spark, rest.join(crowded, "key").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("component", "crowd")
+    crowds = stored(spark, crowds, "crowds")
+    rest = rest.join(crowds, "id", "left")
+    sides = [rest.select("key", *[F.col(x).alias(x + s) for x in ("id", "c", "n", "shared", "sig", "crowd")]) for s in "ab"]
+    bound = F.least("shareda", "sharedb") * (num + den) >= (F.col("na") + F.col("nb")) * num
+    apart = F.coalesce(F.col("crowda") != F.col("crowdb"), F.lit(True))
+    more = sides[0].join(sides[1], "key").filter((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & apart & bound & _near("siga", "sigb"))
+    more = stored(spark, more.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
     links = links.unionByName(_confirm(more, sets, similar))
+    members = rest.dropDuplicates(["id"]).filter(F.col("crowd").isNotNull()).select("id", "crowd", "c", "shared", "sig").join(sets, "id")
+    links = links.unionByName(_confirm_crowds(members, similar))
     named = components(spark, stored(spark, links, "links"))
     rep = classes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = table.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left")

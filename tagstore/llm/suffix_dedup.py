@@ -19,7 +19,7 @@ anchors at equal places, so no repeat is lost, and a quarter of the suffixes rem
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MAX_ID, gram_hashes, lut, partitions, text_buffer, word_hashes, word_spans
+from ._common import MAX_ID, gram_hashes, lut, partitions, split, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
 
@@ -44,15 +44,6 @@ class Words:
         self.anchor = self.window + arg[self.window]
 
 
-def _split(keys, n):
-    """(bucket, rows of it) for keys modulo n."""
-    bucket = (keys % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(order) else np.zeros(0, np.int64)
-    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
-        yield int(bucket[order[a]]), order[a:z]
-
-
 def _pack(segments, low, high):
     import zstandard
 
@@ -105,7 +96,7 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
         w = Words(table.column("text"), window)
         known = np.unique(w.gram[np.unique(w.anchor)])
         p = table.column("p")[0].as_py()
-        rows = [(b, known[at].tobytes()) for b, at in _split(known, groups)]
+        rows = [(b, known[at].tobytes()) for b, at in split(known, groups)]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "p": pa.array([p] * len(rows), pa.int32()), "hashes": pa.array([h for _, h in rows], pa.binary())})
 
     def common(table):
@@ -157,7 +148,7 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
                 low[j] = i
             elif i > high[j]:
                 high[j] = i
-        rows = [(b, _pack([segments[j] for j in x], [low[j] for j in x], [high[j] for j in x])) for b, x in ((b, x.tolist()) for b, x in _split(np.array(keys, np.uint64), groups))]
+        rows = [(b, _pack([segments[j] for j in x], [low[j] for j in x], [high[j] for j in x])) for b, x in ((b, x.tolist()) for b, x in split(np.array(keys, np.uint64), groups))]
         p = left.column("p")[0].as_py()
         return pa.table({"prefix": pa.array([b for b, _ in rows], pa.int32()), "p": pa.array([p] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
