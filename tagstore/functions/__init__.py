@@ -1,0 +1,67 @@
+"""Scalar functions and small numeric tools."""
+
+import math
+
+from pyspark.sql import Column, functions as F
+
+BUCKET_SEED = 11451
+
+
+def laplace(u: Column, scale) -> Column:
+    """Laplace noise by the inverse distribution, of u in (0, 1)."""
+    return -F.lit(float(scale)) * F.signum(u - 0.5) * F.log(F.lit(1.0) - 2 * F.abs(u - 0.5))
+
+
+def hash_uniform(*cols, seed=17) -> Column:
+    """A number in [0, 1) by md5, so that any SQL engine can repeat it."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def prefix(key: Column, n: int) -> Column:
+    return F.substring(key, 1, n)
+
+
+def geometric_pmf(z: int, epsilon: float):
+    """The two-sided geometric distribution cut to 0..z around z/2, summing to 1."""
+    a = math.exp(-epsilon)
+    w = [a ** abs(i - z / 2) for i in range(z + 1)]
+    return [x / sum(w) for x in w]
+
+
+def convolve(p, times: int):
+    """Distribution of the sum of `times` independent draws."""
+    out = [1.0]
+    for _ in range(times):
+        nxt = [0.0] * (len(out) + len(p) - 1)
+        for i, x in enumerate(out):
+            for j, y in enumerate(p):
+                nxt[i + j] += x * y
+        out = nxt
+    return out
+
+
+def level_schedule(k: int, inserts: int):
+    """Landing level and batches per level after each insert, by the k-binomial counters: level i holds C(D[i], i+1) batches."""
+    d, held, out = [*range(k), None], [0] * k, []
+    for _ in range(inserts):
+        d[0] += 1
+        i, moved = 0, 1
+        while i + 1 < k and d[i] == d[i + 1]:
+            d[i + 1] += 1
+            moved += held[i]
+            held[i], d[i] = 0, i
+            i += 1
+        held[i] += moved
+        out.append((i, list(held)))
+    return out
+
+
+def stationary(matrix, tolerance=1e-6):
+    """Rows of a stochastic matrix multiplied until they agree."""
+    m, n = [list(r) for r in matrix], len(matrix)
+    for _ in range(200):
+        m = [[sum(m[i][k] * m[k][j] for k in range(n)) for j in range(n)] for i in range(n)]
+        if max(abs(m[0][j] - m[i][j]) for i in range(n) for j in range(n)) < tolerance:
+            break
+    return m[0]

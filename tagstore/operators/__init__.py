@@ -1,0 +1,148 @@
+"""Operators on records, versions, buckets and traces, as DataFrame transformations."""
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+# -- buckets and levels
+def bucketise(records: DataFrame, capacity: int) -> DataFrame:
+    """Add bucket_no: records in order of key, newest first, cut every `capacity` rows.
+
+    Ranks are made without one global window: rows are counted for each key range of the sort,
+    the range offsets are a table of one row for each range, and ranks run inside the ranges.
+    """
+    spark = records.sparkSession
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = records.select(F.percentile_approx("key", [i / width for i in range(1, width)] or [0.5], 10000).alias("b")).first()["b"] or []
+    part = F.lit(0)
+    for b in sorted(set(bounds)):
+        part = part + (F.col("key") > F.lit(b)).cast("int")
+    ranged = records.withColumn("_part", part)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("key"), F.col("ts").desc(), "op", "val"))
+    out = ranged.withColumn("_rank", rank).join(F.broadcast(offsets), "_part")
+    return out.withColumn("bucket_no", F.floor((F.col("_rank") + F.col("_offset") - 1) / F.lit(capacity)).cast("long")).drop("_part", "_rank", "_offset")
+
+
+def tags(bucketed: DataFrame) -> DataFrame:
+    return bucketed.groupBy("bucket_no").agg(F.min("key").alias("left"), F.max("key").alias("right"), F.count("*").alias("n"))
+
+
+def overlap(queries: DataFrame, tags_: DataFrame, cell: int) -> DataFrame:
+    """Pairs (qid, bucket_no) whose closed intervals meet: an equi-join on cells of the key domain, not a theta join."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    q = queries.withColumn("_cell", cells(F.col("left"), F.col("right")))
+    t = tags_.select("bucket_no", F.col("left").alias("_l"), F.col("right").alias("_r")).withColumn("_cell", cells(F.col("_l"), F.col("_r")))
+    met = q.join(t, "_cell").filter((F.col("left") <= F.col("_r")) & (F.col("right") >= F.col("_l")))
+    first = F.greatest(F.floor(F.col("left") / cell), F.floor(F.col("_l") / cell))
+    return met.filter(F.col("_cell") == first).select("qid", "bucket_no")
+
+
+def range_records(queries: DataFrame, records: DataFrame, cell: int) -> DataFrame:
+    """Records (qid, key, op, ts, val) with left <= key <= right."""
+    q = queries.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("left") / cell), F.floor(F.col("right") / cell))))
+    r = records.withColumn("_cell", F.floor(F.col("key") / cell))
+    return q.join(r, "_cell").filter(F.col("key").between(F.col("left"), F.col("right"))).select("qid", "key", "op", "ts", "val")
+
+
+def bucket_weights(tags_: DataFrame, lo: int, hi: int, range_len: int) -> DataFrame:
+    """Probability that a uniform range query touches a bucket, normalised to sum 1."""
+    n, r = hi - lo + 1, range_len
+    x = F.least(F.lit(r + 1), F.col("left") - lo)
+    y = F.least(F.lit(r + 1), F.lit(hi) - F.col("right"))
+    w = 1 - (2 * F.col("left") - 1 - x) / (2.0 * n - r) * x / (r + 1.0) - (2 * n - 2 * F.col("right") + 1 - y) / (2.0 * n - r) * y / (r + 1.0)
+    raw = tags_.withColumn("_w", w)
+    total = raw.agg(F.sum("_w").alias("_t"))
+    return raw.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_w") / F.col("_t")).drop("_w", "_t")
+
+
+def replicas(weights: DataFrame, overhead: float) -> DataFrame:
+    """Copies of each bucket, and the weight of real and of fake reads of each copy."""
+    n = weights.agg(F.count("*").alias("_b"))
+    alpha, delta = 1.0 / (overhead - 1), (overhead - 1) / overhead
+    out = weights.crossJoin(F.broadcast(n)).withColumn("copies", F.ceil(F.col("weight") * F.col("_b") / F.lit(alpha)).cast("long"))
+    fake = (F.lit(alpha) / F.col("_b") - F.col("weight") / F.col("copies")) / F.lit(1 / delta - 1)
+    return out.withColumn("fake_weight", fake).drop("_b")
+
+
+# -- versions
+def latest(records: DataFrame) -> DataFrame:
+    """The newest record of each key, unless it is a delete; an aggregate, so each task sends one row for each key."""
+    newest = records.groupBy("key").agg(F.max_by(F.struct("op", "ts", "val"), F.struct("ts", "op", "val")).alias("x"))
+    return newest.filter(F.col("x.op") != 2).select("key", F.col("x.ts").alias("ts"), F.col("x.val").alias("val"))
+
+
+def resolve(versions: DataFrame, merge=F.sum, snapshot=None) -> DataFrame:
+    """Visible value of each key: newest put with the merge operands above it; a delete ends the stack without a base."""
+    v = versions if snapshot is None else versions.filter(F.col("seq") <= snapshot)
+    ends = v.groupBy("key").agg(F.max(F.when(F.col("op") != "merge", F.col("seq"))).alias("_end"))
+    live = v.join(ends, "key").filter(F.col("_end").isNull() | (F.col("seq") > F.col("_end")) | ((F.col("seq") == F.col("_end")) & (F.col("op") == "put")))
+    return live.groupBy("key").agg(merge("value").alias("value"), F.count("*").alias("stack"))
+
+
+def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, ts: str, value: str) -> DataFrame:
+    """Each probe with the newest value of its key at or before its time: one union, one window per key, no range join."""
+    p = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast(dict(versions.dtypes)[value]).alias("_v"))
+    v = versions.select(F.col(key), F.col(ts).alias("_t"), F.lit(0).alias("_probe"), F.col(value).alias("_v"))
+    w = Window.partitionBy(key).orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    return p.union(v).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_probe = 1").select(key, F.col("_t").alias(at), F.col("_v").alias(value))
+
+
+def delete_ranges(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Versions that no newer range [begin, end) covers. Ranges are few and broadcast up to 100,000 rows."""
+    few = ranges.limit(100_001).count() <= 100_000
+    r = F.broadcast(ranges) if few else ranges
+    return versions.join(r, (F.col("key") >= F.col("begin")) & (F.col("key") < F.col("end")) & (F.col("rseq") > F.col("seq")), "left_anti")
+
+
+def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """Uncommitted puts and deletes (key, op, value) over base (key, value)."""
+    d = delta.select("key", F.col("op").alias("_op"), F.col("value").alias("_new"))
+    return base.join(d, "key", "full_outer").filter(F.coalesce(F.col("_op") != "delete", F.lit(True))).select("key", F.coalesce("_new", "value").alias("value"))
+
+
+def multi_get(keys: DataFrame, store: DataFrame) -> DataFrame:
+    """One row for each requested key, repeats included, with null where the store has none."""
+    return keys.join(store, "key", "left")
+
+
+def conflicts(writes: DataFrame, versions: DataFrame) -> DataFrame:
+    """Keys of a write set (key, snapshot) that have a newer version."""
+    return writes.join(versions.select(F.col("key").alias("_k"), "seq"), (F.col("key") == F.col("_k")) & (F.col("seq") > F.col("snapshot")), "left_semi").select("key")
+
+
+def expired(rows: DataFrame, ts: str, ttl: int, now) -> Column:
+    return (F.lit(ttl) > 0) & (F.col(ts) + F.lit(ttl) < now)
+
+
+# -- merge operators: aggregates over operands in order of seq
+def append_operands(value: str, seq: str, delimiter=",") -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct(seq, value)))
+    return F.concat_ws(delimiter, F.transform(ordered, lambda x: x[value].cast("string")))
+
+
+def last_n(value: str, seq: str, n=3) -> Column:
+    ordered = F.sort_array(F.collect_list(F.struct(seq, value)), asc=False)
+    return F.concat_ws(",", F.transform(F.slice(ordered, 1, n), lambda x: x[value].cast("string")))
+
+
+def sorted_list(value: str) -> Column:
+    return F.concat_ws(",", F.transform(F.array_sort(F.collect_list(value)), lambda x: x.cast("string")))
+
+
+# -- traces
+def transitions(trace: DataFrame, key: str, order, group=None) -> DataFrame:
+    """Counts of (previous, next) over consecutive accesses, within groups if one is named."""
+    w = Window.partitionBy(group) if group else Window.partitionBy()
+    prev = F.lag(key).over(w.orderBy(*order))
+    return trace.withColumn("prev", prev).filter(F.col("prev").isNotNull()).groupBy("prev", F.col(key).alias("next")).agg(F.count("*").alias("n"))
+
+
+def reuse_gaps(trace: DataFrame, key: str, ts: str, order) -> DataFrame:
+    return trace.withColumn("gap", F.col(ts) - F.lag(ts).over(Window.partitionBy(key).orderBy(*order))).filter(F.col("gap").isNotNull())
+
+
+def bursts(series: DataFrame, entity: str, ts: str, value: str, window: int, threshold: float) -> DataFrame:
+    w = Window.partitionBy(entity).orderBy(ts)
+    rate = (F.col(value) - F.lag(value, window).over(w)) / (F.col(ts) - F.lag(ts, window).over(w))
+    return series.withColumn("rate", rate).filter(F.col("rate") >= threshold)
