@@ -38,8 +38,8 @@ def unescape(text: Column) -> Column:
 
 
 def _named(role: Column, t: Template) -> Column:
-    """A known role's name; any other role keeps its own spelling behind a question mark, with its colons escaped."""
-    out = F.concat(F.lit("?"), F.regexp_replace(escape(role), ":", "\\\\:"))
+    """A known role's name; any other role keeps its own spelling behind a question mark, with a backslash between colon and blank."""
+    out = F.concat(F.lit("?"), F.regexp_replace(escape(role), ":(?= )", r":\\"))
     for r, name in t.names.items():
         out = F.when(role == r, F.lit(name)).otherwise(out)
     return out
@@ -141,7 +141,7 @@ WITH r AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(rol
 n AS (SELECT *, length(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'))
     + (SELECT count(*) FROM range(1, length(text) - 1) t(i) WHERE contains(text, '###') AND substr(text, i::BIGINT, 3) = '###') AS body_len,
   CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 6 WHEN 'assistant' THEN 9
-    ELSE 1 + length(replace(replace(role, '\', '\\'), ':', '\:')) END AS name_len FROM r),
+    ELSE 1 + length(replace(replace(role, '\', '\\'), ': ', ':\ ')) END AS name_len FROM r),
 a AS (SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
