@@ -4,24 +4,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 # -- buckets and levels
-def bucketise(records: DataFrame, capacity: int) -> DataFrame:
-    """Add bucket_no: records in order of key, newest first, cut every `capacity` rows.
+def running(df: DataFrame, key: str, order, amount: Column, out: str) -> DataFrame:
+    """Add the running total of amount in order of key, then `order`, without one global window.
 
-    Ranks are made without one global window: rows are counted for each key range of the sort,
-    the range offsets are a table of one row for each range, and ranks run inside the ranges.
+    Totals are made for each range of the key, the range offsets are a table of one row for each
+    range, and windows run inside the ranges. Rows of one key stay in one range. Null keys come first.
     """
-    spark = records.sparkSession
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = records.select(F.percentile_approx("key", [i / width for i in range(1, width)] or [0.5], 10000).alias("b")).first()["b"] or []
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = df.select(F.percentile_approx(key, [i / width for i in range(1, width)] or [0.5], 10000).alias("b")).first()["b"] or []
     part = F.lit(0)
     for b in sorted(set(bounds)):
-        part = part + (F.col("key") > F.lit(b)).cast("int")
-    ranged = records.withColumn("_part", part)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+        part = part + F.coalesce((F.col(key) > F.lit(b)).cast("int"), F.lit(0))
+    ranged = df.withColumn("_part", part).withColumn("_amount", amount)
+    sizes = ranged.groupBy("_part").agg(F.sum("_amount").alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("key"), F.col("ts").desc(), "op", "val"))
-    out = ranged.withColumn("_rank", rank).join(F.broadcast(offsets), "_part")
-    return out.withColumn("bucket_no", F.floor((F.col("_rank") + F.col("_offset") - 1) / F.lit(capacity)).cast("long")).drop("_part", "_rank", "_offset")
+    inside = Window.partitionBy("_part").orderBy(F.col(key), *order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("_run", F.sum("_amount").over(inside)).join(F.broadcast(offsets), "_part")
+    return ranked.withColumn(out, F.col("_run") + F.col("_offset")).drop("_part", "_amount", "_run", "_offset")
+
+
+def bucketise(records: DataFrame, capacity: int) -> DataFrame:
+    """Add bucket_no: records in order of key, newest first, cut every `capacity` rows."""
+    ranked = running(records, "key", (F.col("ts").desc(), "op", "val"), F.lit(1).cast("long"), "_rank")
+    return ranked.withColumn("bucket_no", F.floor((F.col("_rank") - 1) / F.lit(capacity)).cast("long")).drop("_rank")
 
 
 def tags(bucketed: DataFrame) -> DataFrame:
@@ -29,9 +34,9 @@ def tags(bucketed: DataFrame) -> DataFrame:
 
 
 def overlap(queries: DataFrame, tags_: DataFrame, cell: int) -> DataFrame:
-    """Pairs (qid, bucket_no) whose closed intervals meet: an equi-join on cells of the key domain, not a theta join."""
+    """Pairs (qid, bucket_no) whose closed intervals meet (left > right meets nothing): an equi-join on cells of the key domain, not a theta join."""
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    q = queries.withColumn("_cell", cells(F.col("left"), F.col("right")))
+    q = queries.filter(F.col("left") <= F.col("right")).withColumn("_cell", cells(F.col("left"), F.col("right")))
     t = tags_.select("bucket_no", F.col("left").alias("_l"), F.col("right").alias("_r")).withColumn("_cell", cells(F.col("_l"), F.col("_r")))
     met = q.join(t, "_cell").filter((F.col("left") <= F.col("_r")) & (F.col("right") >= F.col("_l")))
     first = F.greatest(F.floor(F.col("left") / cell), F.floor(F.col("_l") / cell))
@@ -40,7 +45,7 @@ def overlap(queries: DataFrame, tags_: DataFrame, cell: int) -> DataFrame:
 
 def range_records(queries: DataFrame, records: DataFrame, cell: int) -> DataFrame:
     """Records (qid, key, op, ts, val) with left <= key <= right."""
-    q = queries.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("left") / cell), F.floor(F.col("right") / cell))))
+    q = queries.filter(F.col("left") <= F.col("right")).withColumn("_cell", F.explode(F.sequence(F.floor(F.col("left") / cell), F.floor(F.col("right") / cell))))
     r = records.withColumn("_cell", F.floor(F.col("key") / cell))
     return q.join(r, "_cell").filter(F.col("key").between(F.col("left"), F.col("right"))).select("qid", "key", "op", "ts", "val")
 
@@ -72,12 +77,17 @@ def latest(records: DataFrame) -> DataFrame:
     return newest.filter(F.col("x.op") != 2).select("key", F.col("x.ts").alias("ts"), F.col("x.val").alias("val"))
 
 
-def resolve(versions: DataFrame, merge=F.sum, snapshot=None) -> DataFrame:
-    """Visible value of each key: newest put with the merge operands above it; a delete ends the stack without a base."""
+def visible_stack(versions: DataFrame, snapshot=None) -> DataFrame:
+    """Versions that a read combines: the newest put of each key and the merge operands above it; a delete ends the stack."""
     v = versions if snapshot is None else versions.filter(F.col("seq") <= snapshot)
     ends = v.groupBy("key").agg(F.max(F.when(F.col("op") != "merge", F.col("seq"))).alias("_end"))
-    live = v.join(ends, "key").filter(F.col("_end").isNull() | (F.col("seq") > F.col("_end")) | ((F.col("seq") == F.col("_end")) & (F.col("op") == "put")))
-    return live.groupBy("key").agg(merge("value").alias("value"), F.count("*").alias("stack"))
+    live = F.col("_end").isNull() | (F.col("seq") > F.col("_end")) | ((F.col("seq") == F.col("_end")) & (F.col("op") == "put"))
+    return v.join(ends, "key").filter(live).drop("_end")
+
+
+def resolve(versions: DataFrame, merge=F.sum, snapshot=None) -> DataFrame:
+    """Visible value of each key: its visible stack, merged."""
+    return visible_stack(versions, snapshot).groupBy("key").agg(merge("value").alias("value"), F.count("*").alias("stack"))
 
 
 def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, ts: str, value: str) -> DataFrame:
@@ -88,11 +98,12 @@ def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, ts: str, va
     return p.union(v).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_probe = 1").select(key, F.col("_t").alias(at), F.col("_v").alias(value))
 
 
-def delete_ranges(versions: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Versions that no newer range [begin, end) covers. Ranges are few and broadcast up to 100,000 rows."""
-    few = ranges.limit(100_001).count() <= 100_000
-    r = F.broadcast(ranges) if few else ranges
-    return versions.join(r, (F.col("key") >= F.col("begin")) & (F.col("key") < F.col("end")) & (F.col("rseq") > F.col("seq")), "left_anti")
+def delete_ranges(versions: DataFrame, ranges: DataFrame, cell: int) -> DataFrame:
+    """Versions that no newer range [begin, end) covers: an anti join on cells of the key domain. Empty ranges delete nothing."""
+    cells = F.explode(F.sequence(F.floor(F.col("begin") / cell), F.floor((F.col("end") - 1) / cell)))
+    r = ranges.filter("begin < end").select(F.col("begin").alias("_b"), F.col("end").alias("_e"), F.col("rseq").alias("_rseq"), cells.alias("_c"))
+    covered = (F.floor(F.col("key") / cell) == F.col("_c")) & (F.col("key") >= F.col("_b")) & (F.col("key") < F.col("_e")) & (F.col("_rseq") > F.col("seq"))
+    return versions.join(r, covered, "left_anti")
 
 
 def overlay(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -117,13 +128,13 @@ def expired(rows: DataFrame, ts: str, ttl: int, now) -> Column:
 
 # -- merge operators: aggregates over operands in order of seq
 def append_operands(value: str, seq: str, delimiter=",") -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct(seq, value)))
-    return F.concat_ws(delimiter, F.transform(ordered, lambda x: x[value].cast("string")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))))
+    return F.concat_ws(delimiter, F.transform(ordered, lambda x: x["value"].cast("string")))
 
 
 def last_n(value: str, seq: str, n=3) -> Column:
-    ordered = F.sort_array(F.collect_list(F.struct(seq, value)), asc=False)
-    return F.concat_ws(",", F.transform(F.slice(ordered, 1, n), lambda x: x[value].cast("string")))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))), asc=False)
+    return F.concat_ws(",", F.transform(F.slice(ordered, 1, n), lambda x: x["value"].cast("string")))
 
 
 def sorted_list(value: str) -> Column:

@@ -5,8 +5,8 @@ from pyspark.sql import Window, functions as F
 from ..functions import geometric_pmf, convolve, hash_uniform, laplace, level_schedule
 from ..operators import append_operands, as_of, bucket_weights, bucketise, bursts, conflicts, delete_ranges, last_n, latest, multi_get, overlap, overlay, range_records, replicas, resolve, reuse_gaps, sorted_list, tags, transitions
 from ..sources import records, table, versions
+from ._registry import ORACLE_SQL, QUERIES, query
 
-QUERIES, ORACLE_SQL = {}, {}
 CAPACITY, CELL, SPAN = 256, 1000, 50
 
 REC = "r AS (SELECT o_orderkey AS key, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS op, epoch(o_orderdate)::BIGINT AS ts, o_totalprice AS val FROM orders)"
@@ -15,16 +15,6 @@ QLOG = f"q AS (SELECT c_custkey AS qid, c_custkey * 10 AS \"left\", c_custkey *
 VER = "v AS (SELECT l_orderkey AS key, l_linenumber AS seq, CASE l_returnflag WHEN 'R' THEN 'delete' WHEN 'A' THEN 'merge' ELSE 'put' END AS op, l_extendedprice AS value FROM lineitem)"
 
 
-def query(sql):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _recs(s, d):
     return records(table(s, d, "orders"))
 
@@ -124,7 +114,7 @@ def merge_xor_add(s, d):
 @query(f"WITH {VER}, rd AS (SELECT s_suppkey * 100 AS b, s_suppkey * 100 + 30 AS e, s_nationkey % 7 AS rs FROM supplier) SELECT key, seq, op, value FROM v WHERE NOT EXISTS (SELECT 1 FROM rd WHERE key >= b AND key < e AND rs > seq)")
 def range_delete(s, d):
     r = table(s, d, "supplier").select((F.col("s_suppkey") * 100).alias("begin"), (F.col("s_suppkey") * 100 + 30).alias("end"), (F.col("s_nationkey") % 7).alias("rseq"))
-    return delete_ranges(_vers(s, d), r)
+    return delete_ranges(_vers(s, d), r, CELL)
 
 
 @query("SELECT c_custkey, max(o_orderdate) AS at, max_by(o_totalprice, (o_orderdate, o_orderkey)) AS price FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderdate <= TIMESTAMP '1997-01-01' GROUP BY 1")
@@ -161,7 +151,7 @@ def conflict_detection(s, d):
     return conflicts(table(s, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("key"), F.lit(4).alias("snapshot")), _vers(s, d)).distinct()
 
 
-@query("SELECT event_id, user_id FROM events, (SELECT max(epoch(ts))::BIGINT AS now FROM events) WHERE NOT (epoch(ts)::BIGINT + 864000 < now)")
+@query("SELECT event_id, user_id FROM events, (SELECT max(floor(epoch(ts)))::BIGINT AS now FROM events) WHERE NOT (floor(epoch(ts))::BIGINT + 864000 < now)")
 def ttl_filter(s, d):
     e = table(s, d, "events").withColumn("t", F.unix_timestamp("ts"))
     now = e.agg(F.max("t").alias("now"))
@@ -255,3 +245,6 @@ def level_counters(s, d):
 @query(None)
 def bin_load_distribution(s, d):
     return s.createDataFrame([(i, p) for i, p in enumerate(convolve(geometric_pmf(8, 1.0), 4))], "total int, p double")
+
+
+from . import layers, traces  # noqa: E402, F401  further queries register themselves

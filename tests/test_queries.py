@@ -54,3 +54,53 @@ def test_empty_tables(spark):
     r = spark.createDataFrame([], "key long, op int, ts long, val double")
     assert tags(bucketise(r, 4)).count() == 0 and latest(r).count() == 0
     assert resolve(spark.createDataFrame([], "key long, seq int, op string, value double")).count() == 0
+
+
+def test_bucket_names(spark):
+    from tagstore.functions import bucket_id
+
+    want = {(0, 0, 0): "3f0686c1119f1f89", (0, 0, 1): "31671266a99b0d6c", (0, 1, 0): "2d76e8b125a90999", (7, 0, 0): "df6b7d109033caa0", (7, 122, 3): "26e56bd74c7f1b5c", (2, 1000, 0): "4245d88d540f1f7b"}
+    df = spark.createDataFrame(list(want), "l int, b long, r int")
+    assert {(x.l, x.b, x.r): x.id for x in bucket_id(df, "l", "b", "r", "id").collect()} == want
+
+
+def test_histogram_bounds():
+    from tagstore.functions import histogram_bounds
+
+    b = histogram_bounds()
+    assert b[:16] == [1, 2, 3, 4, 6, 10, 15, 22, 34, 51, 76, 110, 170, 250, 380, 580] and b == sorted(set(b)) and b[-1] < 2**64
+
+
+def test_floor_lookup_edges(spark):
+    from tagstore.operators.layers import floor_lookup
+
+    p = spark.createDataFrame([(1, -5), (2, 0), (3, 7), (4, 9000), (5, None)], "id int, at long")
+    e = spark.createDataFrame([(0, 1), (0, 3), (7, 2), (None, 9)], "ts long, v int")
+    got = {r.id: r.v for r in floor_lookup(p, e, "at", "ts", "v", 10).collect()}
+    assert got == {1: None, 2: 3, 3: 2, 4: 2, 5: None}
+    assert {r.id: r.v for r in floor_lookup(p, e, "at", "ts", "v", 10, descending=True).collect()} == {1: 3, 2: 3, 3: 2, 4: None, 5: None}
+    assert floor_lookup(p.limit(0), e, "at", "ts", "v", 10).count() == 0
+
+
+def test_lru_against_simulation(spark):
+    import random
+
+    from tagstore.operators.traces import miss_curve, reuse_distances
+
+    rng = random.Random(3)
+    rows = [(0, rng.randrange(12), i) for i in range(300)]
+    got = {r.capacity: r.misses for r in miss_curve(reuse_distances(spark.createDataFrame(rows, "s int, k int, q int"), "s", "k", "q"), (1, 3, 8)).collect()}
+    for c in got:
+        cache, misses = [], 0
+        for _, k, _ in rows:
+            misses += k not in cache
+            cache = ([k] + [x for x in cache if x != k])[:c]
+        assert got[c] == misses
+
+
+def test_bin_capacity():
+    from tagstore.functions import bin_capacity, convolve, geometric_pmf
+
+    z = bin_capacity(20, 4, 1.0, 1e-3)
+    fill = lambda n: sum(convolve(geometric_pmf(n, 1.0), 4)[:20])
+    assert z % 2 == 0 and fill(z) <= 1e-3 < fill(z - 2)
