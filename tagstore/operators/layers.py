@@ -83,3 +83,42 @@ def smoothing(counts: DataFrame, key: str, n: str) -> DataFrame:
     out = counts.crossJoin(F.broadcast(total)).withColumn("replicas", F.ceil(p * F.col("_k")).cast("long"))
     dummies = out.agg((2 * F.max("_k") - F.sum("replicas")).alias("dummies"))
     return out.crossJoin(F.broadcast(dummies)).select(key, "replicas", (1 / F.col("_k") - p / F.col("replicas")).alias("fake"), "dummies")
+
+
+def fold_named(operands: DataFrame, base=None) -> DataFrame:
+    """Operands (key, seq, fn, value) folded in order of seq, each by its own function: sum, multiply, max or min.
+
+    A change of function folds what came before first; without a base (key, value) the first operand starts
+    the stack. An unknown function makes the result null, and `failed` true. A key's operands are
+    those since its last rewrite, which bounds the list.
+    """
+    stack = operands.select("key", F.struct(F.col("seq").cast("long").alias("seq"), "fn", F.col("value").cast("double").alias("value")).alias("x"))
+    if base is not None:
+        stack = stack.unionByName(base.select("key", F.struct(F.lit(None).cast("long").alias("seq"), F.lit("sum").alias("fn"), F.col("value").cast("double").alias("value")).alias("x")))
+    known = ("sum", "multiply", "max", "min")
+    lists = stack.groupBy("key").agg(F.array_sort(F.collect_list("x"), _by_seq).alias("_xs"), (~F.min(F.coalesce(F.col("x.fn").isin(*known), F.lit(False)))).alias("failed"))
+
+    def step(acc, x):
+        v = x["value"]
+        return F.when(x["fn"] == "sum", acc + v).when(x["fn"] == "multiply", acc * v).when(x["fn"] == "max", F.greatest(acc, v)).otherwise(F.least(acc, v))
+
+    folded = F.aggregate(F.slice("_xs", 2, F.greatest(F.size("_xs"), F.lit(1))), F.element_at("_xs", 1)["value"], step)
+    return lists.select("key", F.when(~F.col("failed"), folded).alias("value"), "failed")
+
+
+def _by_seq(a, b):
+    """The base (a null seq) first, then by seq, function and value."""
+    rank = lambda x: F.struct(F.coalesce(x["seq"], F.lit(-(2**63))).alias("s"), x["fn"].alias("f"), x["value"].alias("v"))
+    return F.when(rank(a) < rank(b), -1).when(rank(a) > rank(b), 1).otherwise(0)
+
+
+def xor_bytes(operands: DataFrame, key: str, value: str) -> DataFrame:
+    """Bytewise exclusive or of the binary operands of a key, shorter ones extended by zeros; nulls and empty ones change nothing.
+
+    Operands are cut to words of four bytes, which tasks combine before the shuffle.
+    """
+    hexed = operands.select(key, F.hex(F.col(value).cast("binary")).alias("_h"))
+    words = hexed.select(key, F.length("_h").alias("_len"), F.posexplode_outer(F.regexp_extract_all("_h", F.lit("(.{1,8})"))).alias("_pos", "_w"))
+    part = words.groupBy(key, "_pos").agg(F.bit_xor(F.conv(F.rpad("_w", 8, "0"), 16, 10).cast("long")).alias("_x"), F.max("_len").alias("_len"))
+    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda s: F.coalesce(F.lpad(F.hex(s["_x"]), 8, "0"), F.lit(""))))
+    return part.groupBy(key).agg(F.max("_len").alias("_len"), text.alias("_t")).select(key, F.lower(F.substring("_t", F.lit(1), F.coalesce("_len", F.lit(0)))).alias("hex"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from . import BKT, CAPACITY, CELL, QLOG, REC, RES, VER, _qlog, _recs, _vers
 from ..functions import BUCKET_SEED, MIX, SHIFT, bucket_id
 from ..operators import append_operands, bucket_weights, bucketise, overlap, replicas, tags, visible_stack
-from ..operators.layers import column_rows, floor_lookup, fragments, remap_pending, replica_starts, rewrite, smoothing, stripes
+from ..operators.layers import column_rows, floor_lookup, fold_named, fragments, remap_pending, replica_starts, rewrite, smoothing, stripes, xor_bytes
 from ..sources import table
 from ._registry import query
 
@@ -123,3 +123,14 @@ def large_values(s, d):
     r = _recs(s, d).withColumn("blob_ref", F.md5(F.col("key").cast("string")))
     keys = r.filter("val > 200000").select(F.when(F.col("op") == 2, "delete").otherwise("insert").alias("kind"), "blob_ref")
     return keys.join(r.filter("val > 200000").select("blob_ref", "val"), "blob_ref")
+
+
+@query(f"WITH {VER}, l AS (SELECT key, list({{'fn': CASE op WHEN 'put' THEN 'sum' WHEN 'merge' THEN 'multiply' ELSE 'max' END, 'value': (1 + seq)::DOUBLE}} ORDER BY seq, CASE op WHEN 'put' THEN 'sum' WHEN 'merge' THEN 'multiply' ELSE 'max' END, seq) AS xs FROM v GROUP BY key) SELECT key, list_reduce(xs, lambda a, x: {{'fn': x.fn, 'value': CASE x.fn WHEN 'sum' THEN a.value + x.value WHEN 'multiply' THEN a.value * x.value ELSE greatest(a.value, x.value) END}}).value AS value FROM l")
+def merge_named(s, d):
+    fn = F.when(F.col("op") == "put", "sum").when(F.col("op") == "merge", "multiply").otherwise("max")
+    return fold_named(_vers(s, d).select("key", "seq", fn.alias("fn"), (1 + F.col("seq")).alias("value"))).select("key", "value")
+
+
+@query("WITH c AS (SELECT c_nationkey AS key, hex(c_mktsegment) AS h FROM customer), p AS (SELECT key, length(h) AS n, unnest(generate_series(0, length(h) // 2 - 1)) AS i, h FROM c), b AS (SELECT key, i, bit_xor(('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS x FROM p GROUP BY 1, 2) SELECT key, lower(string_agg(right('0' || hex(x), 2), '' ORDER BY i)) AS hex FROM b GROUP BY 1")
+def merge_bytes_xor(s, d):
+    return xor_bytes(table(s, d, "customer").withColumnRenamed("c_nationkey", "key"), "key", "c_mktsegment")

@@ -6,6 +6,7 @@ from ..functions import bucket_index, hash_uniform, histogram_bounds
 from ..operators import transitions
 from ..operators.traces import deviations, disorder, interior_points, miss_curve, near_in_time, percentiles, retention, reuse_distances, top_share
 from ..sources import table
+from ..streaming.pool import pooled
 from ._registry import query
 
 SHARDS, CAPACITIES = 16, (4, 8, 16, 32)
@@ -128,3 +129,8 @@ BOUNDS = [b for b in histogram_bounds() if b < 10**9]
 def histogram_percentiles(s, d):
     v = table(s, d, "lineitem").select("l_returnflag", F.floor("l_extendedprice").alias("v"))
     return percentiles(v, "l_returnflag", "v", bucket_index(F.col("v"), BOUNDS), BOUNDS, (50, 99)).withColumn("value", F.round("value", 6))
+
+
+@query(None)
+def decorrelation_pool(s, d):
+    return pooled(_events(s, d), "user_id", "event_id", "event_type", 3, "linear")

@@ -44,6 +44,24 @@ def mixed_workload(spark: SparkSession, n: int, lo: int, hi: int, weights: dict,
     return rows.select(F.col("id").alias("qid"), "kind", left.alias("left"), (left + F.col("len")).alias("right"))
 
 
+def markov_queries(spark: SparkSession, chains: int, length: int, matrix, seed: int = 28603) -> DataFrame:
+    """States (chain, seq, state) of independent Markov chains that start at state 0; a chain is one row until its states are exploded."""
+    n = len(matrix)
+
+    def after(state, u):
+        out = F.lit(n - 1)
+        for i in reversed(range(n)):
+            nxt = F.lit(n - 1)
+            for j in reversed(range(n - 1)):
+                nxt = F.when(u < sum(matrix[i][: j + 1]), F.lit(j)).otherwise(nxt)
+            out = F.when(state == i, nxt).otherwise(out)
+        return out
+
+    u = lambda i: F.pmod(F.xxhash64(F.lit(seed), "chain", i), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(length - 1)), F.array(F.lit(0)), lambda acc, i: F.concat(acc, F.array(after(F.element_at(acc, -1), u(i))))) if length > 1 else F.array(F.lit(0))
+    return spark.range(chains).withColumnRenamed("id", "chain").select("chain", F.posexplode(walk).alias("seq", "state"))
+
+
 def write_sorted(df: DataFrame, path: str, keys=("key",), codec="zstd") -> None:
     """An external table file set: range-partitioned and sorted by key, so that footers prune."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("errorifexists").option("compression", codec).parquet(path)

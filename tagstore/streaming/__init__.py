@@ -9,13 +9,14 @@ def feed(spark: SparkSession, path: str, schema, files_per_trigger=1) -> DataFra
 
 
 def windowed_counts(events: DataFrame, late="10 minutes", width="1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # table files may hold times without a zone
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, capacity: int):
-    """Append every micro-batch as one sorted run; batch numbers make a repeated batch overwrite itself."""
+    """Append every micro-batch as one sorted run of files of `capacity` records at most; batch numbers make a repeated batch overwrite itself."""
 
     def put(batch, number):
-        batch.sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.sortWithinPartitions("key").write.mode("overwrite").option("maxRecordsPerFile", capacity).parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
