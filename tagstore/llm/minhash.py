@@ -18,6 +18,7 @@ SYMBOLS, CHUNKS = 64, 16
 SHINGLE, SIMILAR = 5, (75, 100)
 FARTHEST = 36  # differing symbols beyond which a candidate is not confirmed: at 0.75 that has a probability below 1e-7
 BROADCAST_IDS = 4_000_000
+HOT = 1000  # a class with more than one in so many rows is broadcast instead of dealt out by its key
 CROWD, BLOCK = 100, 512  # members of a crowded key; documents of a block in which a crowd is compared
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -241,6 +242,23 @@ def _near(x, y):
     return differ <= FARTHEST
 
 
+def _members(table, classes):
+    """doc_id, n_shingles, component of every row of the table, by its class.
+
+    A class that holds more than one in HOT rows is broadcast: there are fewer than HOT of them
+    at any size of the input. Only the other classes are dealt out by set_key, so no task
+    reads a large group of copies; rows without a set need no class.
+    """
+    rows = table.filter(F.col("sig").isNotNull()).select("doc_id", "n_shingles", "set_key")
+    limit = table.count() // HOT
+    hot = F.broadcast(classes.filter(F.col("copies") > limit).select("set_key", "component"))
+    cold = classes.filter(F.col("copies") <= limit).select("set_key", "component")
+    plain = rows.join(hot.select("set_key"), "set_key", "left_anti").join(cold, "set_key")
+    alone = table.filter(F.col("sig").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    columns = ["doc_id", "n_shingles", "component"]
+    return rows.join(hot, "set_key").select(*columns).unionByName(plain.select(*columns)).unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -258,7 +276,7 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
     spark = docs.sparkSession
     num, den = similar
     table = stored(spark, signatures(docs), "signatures")
-    classes = table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = stored(
         spark,
         table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")),
@@ -307,8 +325,8 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
     members = rest.dropDuplicates(["id"]).filter(F.col("crowd").isNotNull()).select("id", "crowd", "c", "shared", "sig").join(sets, "id")
     links = links.unionByName(_confirm_crowds(members, similar))
     named = components(spark, stored(spark, links, "links"))
-    rep = classes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = table.select("doc_id", "n_shingles", "set_key").join(rep, "set_key", "left")
+    rep = classes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
+    out = _members(table, stored(spark, rep, "classes"))
     group = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     known = F.when(F.col("doc_id") != MAX_ID, F.col("doc_id"))
     return out.select(known.alias("doc_id"), "n_shingles", F.when(group != MAX_ID, group).alias("component_id"), (F.col("doc_id") == group).alias("kept"))
