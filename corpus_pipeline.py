@@ -12,11 +12,16 @@ def _toxicity(spark, docs, sf_dir):
 
 
 def _near_dedup(spark, docs, sf_dir):
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    kept = minhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_kept"))
+    """One document of each group of near duplicates: one with the smallest doc_id.
+
+    Rows are told apart by their place in the files of docs, since doc_ids may be null or repeated.
+    """
+    columns = docs.columns
+    docs = docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    kept = minhash.near_duplicates(docs.select("doc_id", "text", "_row"), row="_row").filter("kept").select("_row")
     kept = _common.stored(spark, kept, "kept")
     few = kept.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS
-    return docs.join(F.broadcast(kept) if few else kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(F.broadcast(kept) if few else kept, "_row", "left_semi").select(*columns)
 
 
 def _decontamination(spark, docs, sf_dir):

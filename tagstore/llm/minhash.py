@@ -58,6 +58,12 @@ def signature(hashes):
         return (m[:, 0] << np.uint64(48)) | (m[:, 1] << np.uint64(32)) | (m[:, 2] << np.uint64(16)) | m[:, 3]
 
 
+def set_key(hashes):
+    """Two 64-bit sums over the set, and its size."""
+    with np.errstate(over="ignore"):
+        return np.array([hashes.sum(dtype=np.uint64), mix(hashes).sum(dtype=np.uint64), len(hashes)], np.uint64).tobytes()
+
+
 def _rows(batches, f):
     """Row blocks of about 4 MB of text: (batch, first row, last row, buf, off)."""
     for b in batches:
@@ -69,39 +75,43 @@ def _rows(batches, f):
             lo = hi
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (two 64-bit sums over the set), sig; rows without words have no sig."""
+def signatures(docs: DataFrame, row=None) -> DataFrame:
+    """doc_id, row (the column named so, or null), n_shingles, set_key (two 64-bit sums over the set), sig; rows without words have no sig."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
 
     def made(b, lo, hi, buf, off):
         sets = shingle_sets(buf, off)
-        with np.errstate(over="ignore"):
-            keys = [np.array([x.sum(dtype=np.uint64), mix(x).sum(dtype=np.uint64), len(x)], np.uint64).tobytes() for x in sets]
+        keys = [set_key(x) for x in sets]
         sigs = [signature(x).view(np.int64) if len(x) else None for x in sets]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig"]
+            [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))],
+            names=["doc_id", "row", "n_shingles", "set_key", "sig"],
         )
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), "text").mapInArrow(
-        lambda batches: _rows(batches, made), "doc_id long, n_shingles long, set_key binary, sig array<long>"
+    known = F.lit(None).cast("long") if row is None else F.col(row)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), known.alias("row"), "text").mapInArrow(
+        lambda batches: _rows(batches, made), "doc_id long, row long, n_shingles long, set_key binary, sig array<long>"
     )
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and set (sorted hashes) of the documents whose id is in ids; the ids are broadcast if there are few."""
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and set (sorted hashes) of the classes wanted (id, doc_id, set_key); their doc_ids, broadcast if there are few, only spare reading other texts."""
     import pyarrow as pa
 
     small_batches(docs.sparkSession)
+    ids = wanted.select("doc_id").distinct()
     n = ids.limit(BROADCAST_IDS + 1).count()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("id"), "text").filter(F.col("id").isNotNull())
-    rows = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), "text")
+    rows = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def made(b, lo, hi, buf, off):
-        yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in shingle_sets(buf, off)], pa.binary())], names=["id", "set"])
+        sets = shingle_sets(buf, off)
+        yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_key", "set"])
 
-    return rows.mapInArrow(lambda batches: _rows(batches, made), "id long, set binary")
+    sets = rows.mapInArrow(lambda batches: _rows(batches, made), "set_key binary, set binary").dropDuplicates(["set_key"])
+    return sets.join(wanted.select("set_key", "id"), "set_key").select("id", "set")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
@@ -242,27 +252,45 @@ def _near(x, y):
     return differ <= FARTHEST
 
 
+def _named(classes, named, reps):
+    """set_key, copies, component (smallest doc_id) and keeper (the row that is kept of the component) of every class.
+
+    As in _members, the components that hold more than one in HOT of the linked classes are
+    broadcast and only the others are dealt out.
+    """
+    linked = classes.join(named, "id")
+    alone = classes.join(named.select("id"), "id", "left_anti")
+    limit = named.count() // HOT
+    size = named.groupBy("component").agg(F.count("*").alias("size"))
+    roots = stored(reps.sparkSession, size.join(reps.select(F.col("id").alias("component"), "doc_id", "row"), "component"), "roots")
+    hot, cold = F.broadcast(roots.filter(F.col("size") > limit)), roots.filter(F.col("size") <= limit)
+    linked = linked.drop("doc_id", "row")
+    plain = linked.join(hot.select("component"), "component", "left_anti").join(cold, "component")
+    columns = ["set_key", "copies", F.col("doc_id").alias("component"), F.col("row").alias("keeper")]
+    return alone.select(*columns).unionByName(linked.join(hot, "component").select(*columns)).unionByName(plain.select(*columns))
+
+
 def _members(table, classes):
-    """doc_id, n_shingles, component of every row of the table, by its class.
+    """doc_id, row, n_shingles, component, keeper of every row of the table, by its class.
 
     A class that holds more than one in HOT rows is broadcast: there are fewer than HOT of them
     at any size of the input. Only the other classes are dealt out by set_key, so no task
     reads a large group of copies; rows without a set need no class.
     """
-    rows = table.filter(F.col("sig").isNotNull()).select("doc_id", "n_shingles", "set_key")
+    rows = table.filter(F.col("sig").isNotNull()).select("doc_id", "row", "n_shingles", "set_key")
     limit = table.count() // HOT
-    hot = F.broadcast(classes.filter(F.col("copies") > limit).select("set_key", "component"))
-    cold = classes.filter(F.col("copies") <= limit).select("set_key", "component")
+    hot = F.broadcast(classes.filter(F.col("copies") > limit).select("set_key", "component", "keeper"))
+    cold = classes.filter(F.col("copies") <= limit).select("set_key", "component", "keeper")
     plain = rows.join(hot.select("set_key"), "set_key", "left_anti").join(cold, "set_key")
-    alone = table.filter(F.col("sig").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
-    columns = ["doc_id", "n_shingles", "component"]
+    alone = table.filter(F.col("sig").isNull()).select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component"), F.col("row").alias("keeper"))
+    columns = ["doc_id", "row", "n_shingles", "component", "keeper"]
     return rows.join(hot, "set_key").select(*columns).unionByName(plain.select(*columns)).unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, similar=SIMILAR, row=None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, and the column named by row, whose long is another in every row.
 
-    Equal sets are one class and stand as its smallest doc_id. Each class is compared with one
+    Equal sets are one class, numbered in the order of their smallest doc_ids. Each class is compared with one
     leader, of the smallest classes under its keys the one it shares most keys with; the
     components of confirmed links leave few keys that still hold several components. In a second
     round the leader of such a key is its class with the largest share of shingles that other
@@ -270,18 +298,20 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
     keys that are still open all pairs of different components are candidates, by a join or, for
     documents that meet under crowded keys, block by block, if their sizes, their
     signatures and the numbers of shingles shared with other components allow the similarity. Pairs
-    within a component need no comparison. Rows of one doc_id share a component; a null doc_id
-    counts as larger than all others. Rows without words are linked with nothing.
+    within a component need no comparison. A component is named by its smallest doc_id, where a
+    null counts as larger than all others, and keeps one row of that doc_id; rows of one doc_id
+    but different texts are different classes. Rows without words are linked with nothing and kept.
     """
     spark = docs.sparkSession
     num, den = similar
-    table = stored(spark, signatures(docs), "signatures")
-    classes = table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = stored(
-        spark,
-        table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sig"), "doc_id").alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.sig").alias("sig")),
-        "reps",
-    )
+    table = signatures(docs, row)
+    if row is None:  # written once, so it stays the same
+        table = table.withColumn("row", F.monotonically_increasing_id())
+    table = stored(spark, table, "signatures")
+    reps = table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min_by(F.struct("doc_id", "row", "n_shingles", "sig"), F.struct("doc_id", "row")).alias("x"), F.count("*").alias("copies"))
+    reps = reps.select("set_key", "copies", "x.doc_id", "x.row", F.col("x.n_shingles").alias("n"), "x.sig").sort("doc_id", "set_key")
+    reps = stored(spark, reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    classes = reps.select("id", "set_key", "copies", "doc_id", "row")
     masks = F.array(*[F.lit(x) for x in ((1 << 48) - 1, ~(0xFFFF << 32), ~(0xFFFF << 16), ~0xFFFF)])
     keyed = reps.select("id", F.posexplode("sig").alias("chunk", "s")).select("id", "chunk", "s", F.posexplode(masks).alias("hole", "mask")).select(F.xxhash64("chunk", "hole", F.col("s").bitwiseAND(F.col("mask"))).alias("key"), "id")
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
@@ -294,7 +324,8 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
         both = pairs.join(a, "a").join(b, "b")
         return both.filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & _near("sa", "sb")).select("a", "b")
 
-    sets = stored(spark, full_sets(docs, met.select("id").distinct()).dropDuplicates(["id"]), "sets")
+    wanted = stored(spark, reps.select("id", "doc_id", "set_key").join(met.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = stored(spark, full_sets(docs, wanted), "sets")
     led = met.filter("first < id").select("id", "first")
     links = named = None
     for more in (True, False):
@@ -325,11 +356,10 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR) -> DataFrame:
     members = rest.dropDuplicates(["id"]).filter(F.col("crowd").isNotNull()).select("id", "crowd", "c", "shared", "sig").join(sets, "id")
     links = links.unionByName(_confirm_crowds(members, similar))
     named = components(spark, stored(spark, links, "links"))
-    rep = classes.join(named.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "copies", F.coalesce("component", "rep").alias("component"))
-    out = _members(table, stored(spark, rep, "classes"))
-    group = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    out = _members(table, stored(spark, _named(classes, named, reps), "classes"))
     known = F.when(F.col("doc_id") != MAX_ID, F.col("doc_id"))
-    return out.select(known.alias("doc_id"), "n_shingles", F.when(group != MAX_ID, group).alias("component_id"), (F.col("doc_id") == group).alias("kept"))
+    also = [] if row is None else [F.col("row").alias(row)]
+    return out.select(known.alias("doc_id"), "n_shingles", F.when(F.col("component") != MAX_ID, F.col("component")).alias("component_id"), (F.col("row") == F.col("keeper")).alias("kept"), *also)
 
 
 def op10(spark, sf_dir):

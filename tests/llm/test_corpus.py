@@ -296,3 +296,33 @@ def test_pipeline_stages(spark):
         assert r.start == at
         at += r.n_tokens
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+
+
+def _clashing_rows():
+    r = random.Random(8)
+    text = lambda: [r.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(r.randrange(40)) for _ in range(60)]
+    a, b, c, d = (text() for _ in range(4))
+    near = lambda t: " ".join([*t[:-1], "end"])
+    na, nb, nc = near(a), near(b), near(c)
+    a, b, c, d = (" ".join(t) for t in (a, b, c, d))
+    # (doc_id, text, group): null and repeated ids with different texts, copies of a text under null ids
+    return [(5, a, 0), (None, na, 0), (None, b, 1), (None, b, 1), (None, c, 2), (9, d, 3), (9, nc, 2), (7, nb, 1), (7, d, 3), (None, "", None), (None, None, None)]
+
+
+def test_near_duplicates_null_and_repeated_ids(spark):
+    rows = _clashing_rows()
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, n) for n, (i, t, _) in enumerate(rows)], "doc_id long, text string, n long"), row="n").collect()
+    name = {g: min((i for i, _, h in rows if g == h and i is not None), default=None) for g in range(4)}
+    assert {r.n: (r.doc_id, r.component_id) for r in got} == {n: (i, i if g is None else name[g]) for n, (i, _, g) in enumerate(rows)}
+    assert sorted(r.n for r in got if r.kept) == [0, 6, 7, 8, 9, 10]
+    plain = minhash.near_duplicates(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")).collect()
+    assert sum(r.kept for r in plain) == 6
+
+
+def test_pipeline_near_dedup_keeps_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = _clashing_rows()
+    spark.createDataFrame([(i, t, n) for n, (i, t, _) in enumerate(rows)], "doc_id long, text string, n long").write.parquet(str(tmp_path / "d"))
+    out = corpus_pipeline._near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), None)
+    assert out.columns == ["doc_id", "text", "n"] and sorted(r.n for r in out.collect()) == [0, 6, 7, 8, 9, 10]
