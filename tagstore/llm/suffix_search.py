@@ -1,9 +1,11 @@
 """Benchmark decontamination: suffix arrays over shards of the documents, searched by every test suffix."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import lower_ascii, lut, small_batches, text_buffer, word_hashes, word_spans
+from ._common import lower_ascii, lut, small_batches, stored, text_buffer, word_hashes, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20  # test texts that are sent to the workers at once
@@ -95,7 +97,7 @@ class Searcher:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BLOCK_BYTES):
-    """Per row of docs and block of test texts: all columns of docs, n_words, longest verbatim matches as starts and ends (in words), and items.
+    """Per row of docs and block of test texts: all columns of docs but text, n_words, longest verbatim matches as starts and ends (in words), and items.
 
     Rows of docs are shards in Arrow batches; every test suffix is searched in each shard's suffix
     array. Null and empty texts have no words. Nothing is joined, so repeated or null ids do not
@@ -105,7 +107,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BL
 
     small_batches(docs.sparkSession)
     ints = T.ArrayType(T.IntegerType())
-    schema = docs.select("doc_id").schema.add("n_words", "long").add("starts", ints).add("ends", ints).add("items", T.ArrayType(T.StringType()))
+    docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
+    last = len(docs.columns) - 1
+    schema = docs.drop("text").schema.add("n_words", "long").add("starts", ints).add("ends", ints).add("items", T.ArrayType(T.StringType()))
     out = []
     for block in list(test_blocks(benchmark, block_bytes)) or [[]]:
         prepared = prepare(block, window) if block else (np.zeros(0, np.uint64), [])
@@ -114,7 +118,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BL
         def run(batches, sent=sent):
             searcher = Searcher(sent.value, window)
             for b in batches:
-                buf, off = text_buffer(b.column(1))
+                buf, off = text_buffer(b.column(last))
                 cut = 0
                 while cut < len(off) - 1:  # a shard has about 8 MB
                     end = max(cut + 1, int(np.searchsorted(off, off[cut] + (8 << 20), side="right")) - 1)
@@ -136,12 +140,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BL
                         ends.append(z)
                         items.append(sorted({i for w in np.unique(win[lo:hi]).tolist() for i in searcher.items[w]}))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(cut, end - cut), pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                        names=["doc_id", "n_words", "starts", "ends", "items"],
+                        [*[c.slice(cut, end - cut) for c in b.columns[:last]], pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                        names=[*b.schema.names[:last], "n_words", "starts", "ends", "items"],
                     )
                     cut = end
 
-        out.append(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out.append(docs.mapInArrow(run, schema))
     return out
 
 
@@ -170,14 +174,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BLOC
 def contaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items, starts, ends, contaminated.
 
-    With several blocks of test texts the matches of a document are united by doc_id, and
-    repeated rows of one doc_id then give one row.
+    With several blocks of test texts the rows are numbered and written once, and the matches of
+    a row are united by its number, so null and repeated doc_ids stay apart at any number of blocks.
     """
+    docs = docs.select("doc_id", "text")
+    if len(list(itertools.islice(test_blocks(benchmark, block_bytes), 2))) > 1:
+        docs = stored(docs.sparkSession, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = matches(docs, benchmark, window, block_bytes)
     out = found[0]
     if len(found) > 1:
         for other in found[1:]:
-            out = out.unionByName(other)
+            out = out.unionByName(other.filter(F.size("starts") > 0))
         spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
         merged = F.aggregate(
             spans,
@@ -186,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_byt
                 F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["starts"].alias("starts"), F.greatest(F.try_element_at(a, F.lit(-1))["ends"], x["ends"]).alias("ends")))),
             ).otherwise(F.concat(a, F.array(F.struct(x["starts"].alias("starts"), x["ends"].alias("ends"))))),
         )
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged.alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), merged.alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         out = out.select("doc_id", "n_words", F.col("m.starts").alias("starts"), F.col("m.ends").alias("ends"), "items")
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "starts", "ends").withColumn("contaminated", F.col("n_hit") > 0)

@@ -326,3 +326,12 @@ def test_pipeline_near_dedup_keeps_one_row_of_each_group(spark, tmp_path):
     spark.createDataFrame([(i, t, n) for n, (i, t, _) in enumerate(rows)], "doc_id long, text string, n long").write.parquet(str(tmp_path / "d"))
     out = corpus_pipeline._near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), None)
     assert out.columns == ["doc_id", "text", "n"] and sorted(r.n for r in out.collect()) == [0, 6, 7, 8, 9, 10]
+
+
+def test_decontamination_keeps_every_row_at_any_number_of_blocks(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    rows = [(None, f"x {a}"), (None, f"y y {b} z"), (None, None), (3, a), (3, f"{b} {a}"), (3, a), (4, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    one, two = (sorted(map(repr, suffix_search.contaminated(docs, bench, block_bytes=n).collect())) for n in (1 << 20, 10))
+    assert len(one) == len(rows) and one == two
