@@ -335,3 +335,34 @@ def test_decontamination_keeps_every_row_at_any_number_of_blocks(spark):
     bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
     one, two = (sorted(map(repr, suffix_search.contaminated(docs, bench, block_bytes=n).collect())) for n in (1 << 20, 10))
     assert len(one) == len(rows) and one == two
+
+
+def test_licences_in_full(spark):
+    from pathlib import Path
+
+    real = {"Apache-2.0": "/usr/share/common-licenses/Apache-2.0", "GPL-3.0": "/usr/share/common-licenses/GPL-3", "LGPL-3.0": "/usr/share/common-licenses/LGPL-3", "MPL-2.0": "/usr/share/common-licenses/MPL-2.0"}
+    texts = {k: Path(f).read_text() for k, f in real.items() if Path(f).exists()}
+    body = Path(licenses.__file__).parent / "licence_texts"
+    texts |= {k: "MIT License\n\nCopyright (c) 2019 Some Body\n\n" * (k == "MIT") + (body / f"{k}.txt").read_text() for k in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0")}
+    names = sorted(texts)
+    prose = "some words that belong to nothing " * 300
+    rows = [(i, texts[k]) for i, k in enumerate(names)] + [(100 + i, f"{prose}\n{texts[k]}\n{prose}") for i, k in enumerate(names)]
+    rows += [(200 + i, " ".join([prose, *texts[k].split(), prose])) for i, k in enumerate(names)] + [(300, prose), (301, f"{prose} Released under the MIT License. {prose}")]
+    got = {r.doc_id: r.matches for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, k in enumerate(names):
+        for at in (i, 100 + i, 200 + i):
+            assert max(got[at], key=lambda m: m.n_bytes).licence == k and max(m.dice for m in got[at] if m.licence == k) > 0.95, (k, at)
+    assert not got[300] and [m.licence for m in got[301]] == ["MIT"]
+
+
+def test_licence_windows_against_brute_force():
+    r = random.Random(4)
+    templates = {"A": ["a b a b a c d"], "B": ["a b c", "d d d d e a b"]}
+    scanner = licenses.Scanner(templates, 0.6)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.choice([0, 1, 2, 9, 60]))) for _ in range(80)]
+    off = np.cumsum([0, *[len(t) for t in texts]])
+    got = scanner.windows(np.frombuffer("".join(texts).encode(), np.uint8), off)
+    for i, t in enumerate(texts):
+        w = t.split()
+        want = {(sum((g & licenses.bigrams(" ".join(w[a : a + n + 1]).encode())).values()), n, k, a) for k, (_, _, g, n) in enumerate(scanner.known) for a in range(len(w) - n)}
+        assert {tuple(x) for x in got.get(i, (0, 0, []))[2]} == {x for x in want if x[0] >= 0.6 * x[1] - 1e-9}, t
