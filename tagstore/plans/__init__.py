@@ -151,6 +151,24 @@ def conflict_detection(s, d):
     return conflicts(table(s, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("key"), F.lit(4).alias("snapshot")), _vers(s, d)).distinct()
 
 
+@query("WITH b AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer), x AS (SELECT o_custkey AS key, CASE WHEN max(o_orderkey) % 5 = 0 THEN 'delete' ELSE 'put' END AS op, max(o_totalprice) AS value FROM orders GROUP BY 1) SELECT coalesce(b.key, x.key) AS key, coalesce(x.value, b.value) AS value FROM b FULL JOIN x ON b.key = x.key WHERE x.op IS NULL OR x.op <> 'delete'")
+def batch_overlay_all(s, d):
+    base = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key"))
+    return overlay(base, o.agg(F.when(F.max("o_orderkey") % 5 == 0, "delete").otherwise("put").alias("op"), F.max("o_totalprice").alias("value")))
+
+
+@query("SELECT c_custkey AS key, value FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS value FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def multi_key_get_all(s, d):
+    store = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
+    return multi_get(table(s, d, "customer").select(F.col("c_custkey").alias("key")), store)
+
+
+@query(f"WITH {VER} SELECT DISTINCT o_orderkey AS key FROM orders WHERE EXISTS (SELECT 1 FROM v WHERE v.key = o_orderkey AND v.seq > 4)")
+def conflict_detection_all(s, d):
+    return conflicts(table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit(4).alias("snapshot")), _vers(s, d)).distinct()
+
+
 @query("SELECT event_id, user_id FROM events, (SELECT max(floor(epoch(ts)))::BIGINT AS now FROM events) WHERE NOT (floor(epoch(ts))::BIGINT + 864000 < now)")
 def ttl_filter(s, d):
     e = table(s, d, "events").withColumn("t", F.unix_timestamp("ts"))
