@@ -1,5 +1,11 @@
-"""Shared pieces: the shared folder, Arrow text buffers, word spans and word hashes."""
+"""Shared pieces: the shared folder, Arrow text buffers, word spans and word hashes.
 
+Arrow batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), whatever
+the length of texts; workers cut them further where they need more memory than the text.
+"""
+
+import os
+import tempfile
 import uuid
 
 import numpy as np
@@ -18,30 +24,36 @@ def small_batches(spark, rows=1000):
 
 
 def shared_dir(spark):
-    """The folder that driver and executors share; a folder of our own only where none is set."""
-    sc = spark.sparkContext
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and sc._jsc.sc().getCheckpointDir().isDefined():
-        base = sc._jsc.sc().getCheckpointDir().get()
+    if not base and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not base:
-        base = "/tmp/tagstore-shared"
-        sc.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = os.path.join(tempfile.gettempdir(), "tagstore-local")
     return base.rstrip("/")
 
 
+def fresh_path(spark, name):
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(spark, df, name):
     """Write df to the shared folder and read it again; cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
 
 
-def release(spark, df):
-    """Delete what stored() wrote for df, and let Spark drop shuffles that nothing refers to."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark, *dfs):
+    """Delete what stored() wrote for these."""
+    for df in dfs:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_unused_shuffles(spark):
@@ -52,6 +64,14 @@ def drop_unused_shuffles(spark):
     spark.sparkContext._jvm.System.gc()
 
 
+def worker_cache():
+    """A dict that lives as long as a Python worker. Functions travel by value, so globals of this package are new in each task; this one hangs on a module of its own."""
+    import sys
+    import types
+
+    return vars(sys.modules.setdefault("_tagstore_worker_cache", types.ModuleType("_tagstore_worker_cache")))
+
+
 def text_buffer(column):
     """(bytes as uint8, offsets of rows, one more than rows) of an Arrow string column; null counts as empty."""
     import pyarrow as pa

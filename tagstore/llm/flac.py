@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._bits import _LEADING, U, as_words, leading_zeros, pack, peek
-from ._common import small_batches, text_buffer
+from ._common import text_buffer
 
 BLOCK = 1024  # samples of a frame; short frames give more lanes
 RATE = 8000
@@ -434,7 +434,6 @@ def encode_texts(docs: DataFrame) -> DataFrame:
     """docs with `n_bytes` and `media`, the FLAC stream of the text's payload. Null and empty texts give 64 zeros; all other columns pass through but text."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches):

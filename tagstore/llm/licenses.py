@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import gram_hashes, lower_ascii, lut, small_batches, text_buffer, word_hashes, word_spans
+from ._common import gram_hashes, lower_ascii, lut, text_buffer, word_hashes, word_spans
 
 CUT = 0.8
 #: Licence id -> template texts: short notices and headers as they stand in files, openings, and the full texts of licence_texts/.
@@ -179,7 +179,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, cut=CUT) -> DataFrame:
     """docs with `matches`; all rows and columns are kept. Null and empty texts have none. Each row is judged alone, so repeated rows and ids do not matter."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct([("licence", pa.string()), ("template", pa.int32()), ("dice", pa.float64()), ("first_byte", pa.int64()), ("n_bytes", pa.int64())]))
 

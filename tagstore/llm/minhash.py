@@ -11,7 +11,7 @@ Candidates are confirmed on full sets of 64-bit shingle hashes.
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MAX_ID, drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, small_batches, split, stored, text_buffer, word_hashes, word_spans
+from ._common import MAX_ID, drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, split, stored, text_buffer, word_hashes, word_spans
 from ._graph import components
 
 SYMBOLS, CHUNKS = 64, 16
@@ -79,7 +79,6 @@ def signatures(docs: DataFrame, row=None) -> DataFrame:
     """doc_id, row (the column named so, or null), n_shingles, set_key (two 64-bit sums over the set), sig; rows without words have no sig."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
 
     def made(b, lo, hi, buf, off):
         sets = shingle_sets(buf, off)
@@ -100,7 +99,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and set (sorted hashes) of the classes wanted (id, doc_id, set_key); their doc_ids, broadcast if there are few, only spare reading other texts."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     ids = wanted.select("doc_id").distinct()
     n = ids.limit(BROADCAST_IDS + 1).count()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), "text")

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import lower_ascii, lut, small_batches, stored, text_buffer, word_hashes, word_spans
+from ._common import lower_ascii, lut, stored, text_buffer, word_hashes, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20  # test texts that are sent to the workers at once
@@ -105,7 +105,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BL
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     ints = T.ArrayType(T.IntegerType())
     docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
     last = len(docs.columns) - 1
@@ -154,7 +153,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window=WINDOW, block_bytes=BLOC
     import pyarrow as pa
 
     spark = docs.sparkSession
-    small_batches(spark)
     at = docs.columns.index("text")
     for block in test_blocks(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(prepare(block, window))

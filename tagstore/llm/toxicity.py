@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import small_batches, text_buffer
+from ._common import text_buffer
 
 WINDOW = 64  # bytes; a window ends at the next blank, at most 32 bytes later
 GRAM = 5
@@ -141,7 +141,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score` and `predicted`; all rows and columns are kept, null texts score as empty ones."""
     import pyarrow as pa
 
-    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     names = [*docs.columns, "score", "predicted"]
 
