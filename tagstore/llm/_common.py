@@ -18,11 +18,6 @@ def partitions(spark):
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark, rows=1000):
-    """Bound the rows of an Arrow batch, since one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark):
     """The folder that driver and executors share, as spark.checkpoint.dir names it. Only a local session, as in tests, may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

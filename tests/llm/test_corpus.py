@@ -188,12 +188,40 @@ def test_huffman(docs):
     assert huffman.digests(docs.limit(0), path).count() == 0
 
 
+def test_huffman_files_alone_null_repeated_and_extreme_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = huffman.tokenizer_path()
+    tk = Tokenizer.from_file(path)
+    rows = [(None, "b b"), (None, None), (None, "b b"), (2**63 - 1, "last"), (-(2**63), "first " * 70000), (7, "x"), (7, "y y y"), (7, "x"), (0, "")]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n long, ids long")
+    huffman.write_blocks(d, path, str(tmp_path / "f"))
+    got = huffman.read_blocks(spark.newSession(), str(tmp_path / "f")).collect()
+    want = [(i, np.array([*tk.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows]
+    assert sorted(((r.doc_id is not None, r.doc_id, bytes(r.ids)) for r in got), key=repr) == sorted(((i is not None, i, b) for i, b in want), key=repr)
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and ids[:3] == [None] * 3
+
+
+def test_encoder_of_a_tokenizer_that_keeps_white_space():
+    from tokenizers import Tokenizer
+
+    path = huffman.tokenizer_path("byte_bpe_50k.json")
+    tk, mine = Tokenizer.from_file(path), huffman.Encoder(path)
+    for t in ("the old house\nand a tree", "", "  a\n\nb "):
+        assert not mine.cuts and np.frombuffer(mine.encode(t, b""), mine.dtype).tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
     path = huffman.tokenizer_path()
     tk, mine = Tokenizer.from_file(path), huffman.Encoder(path)
-    odd = ["It's we'll DON'T", "a,b. c,, d.. e.,", "İstanbul Σίσυφος ΣΑΣ", "e\u0301te\u0301 café", "<|endoftext|> x<|startoftext|>y", "１２ ½ ৩৪", "tab\tand\x1cfs\u00a0nbsp\u2003em\r\nend", "日本語 テスト", "ﬁx ǅ ŉ", "", "   "]
+    odd = ["It's we'll DON'T", "a,b. c,, d.. e.,", "İstanbul Σίσυφος ΣΑΣ", "e\u0301te\u0301 café", "<|endoftext|> x<|startoftext|>y", "１２ ½ ৩৪", "tab\tand\x1cfs\u00a0nbsp\u2003em\r\nend", "日本語 テスト", "ﬁx ǅ ŉ", "", "   ", "H\u0331, T\u0308. =\u0338; E\u0301! a,\u0338 Σ, ΑΣ. İ, Word, word. WORD! it's, don't. ,.; ' , x' y,", "1, 2. ½; a1, é2."]
+    r = random.Random(3)
+    odd += ["".join(r.choice("aBé,.;' \n1\u0301ßΣ\t!İ-") for _ in range(40)) for _ in range(300)]
     for t in odd:
         assert np.frombuffer(mine.encode(t, b""), mine.dtype).tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
@@ -205,8 +233,13 @@ def test_code_lengths_are_limited_and_complete():
     ids = np.random.default_rng(0).integers(0, 30, 3000)
     n = huffman.code_lengths(np.bincount(ids, minlength=40))
     block = huffman.encode_block([5, -1], [ids[:700], ids[700:]], huffman.canonical(n), n)
-    who, per, back = huffman.decode_block(block, huffman.decode_table(n))
-    assert who.tolist() == [5, -1] and per.tolist() == [700, 2300] and (back == ids).all()
+    who, null, per, back = huffman.decode_block(block, huffman.decode_table(n))
+    assert who.tolist() == [5, -1] and not null.any() and per.tolist() == [700, 2300] and (back == ids).all()
+    for at in (2, 30, len(block) - 1):
+        bad = bytearray(block)
+        bad[at] ^= 4
+        with pytest.raises(huffman.Damaged):
+            huffman.decode_block(bytes(bad), huffman.decode_table(n))
 
 
 def test_flac_query(docs):
