@@ -361,13 +361,48 @@ def test_pipeline_near_dedup_keeps_one_row_of_each_group(spark, tmp_path):
     assert out.columns == ["doc_id", "text", "n"] and sorted(r.n for r in out.collect()) == [0, 6, 7, 8, 9, 10]
 
 
-def test_decontamination_keeps_every_row_at_any_number_of_blocks(spark):
+def test_decontamination_keeps_every_row_at_any_number_of_blocks(spark, monkeypatch):
     a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
-    rows = [(None, f"x {a}"), (None, f"y y {b} z"), (None, None), (3, a), (3, f"{b} {a}"), (3, a), (4, "clean")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(None, f"x {a}"), (None, f"y y {b} z"), (None, None), (3, a), (3, f"{b} {a}"), (3, a), (4, "clean"), (5, ""), (2**63 - 1, f"{b} " * 3000)]
+    docs = spark.createDataFrame([(i, t, 7, [9]) for i, t in rows], "doc_id long, text string, n_words int, matches array<int>")
     bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
     one, two = (sorted(map(repr, suffix_search.contaminated(docs, bench, block_bytes=n).collect())) for n in (1 << 20, 10))
-    assert len(one) == len(rows) and one == two
+    monkeypatch.setattr(suffix_search, "PASS_BLOCKS", 1)
+    three = sorted(map(repr, suffix_search.contaminated(docs, bench, block_bytes=10).collect()))
+    assert len(one) == len(rows) and one == two == three
+    assert suffix_search.clean(docs, bench, block_bytes=10).columns == docs.columns
+    assert sorted(repr(r.text) for r in suffix_search.clean(docs, bench, block_bytes=10).collect()) == ["''", "'clean'", "None"]
+    assert suffix_search.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_longest_matches_against_brute_force(spark):
+    r = random.Random(6)
+    words = lambda n, v="abc": " ".join(r.choice(v) for _ in range(n))
+    items = [("i%d" % i, words(r.choice([0, 1, 2, 3, 5, 9]))) for i in range(12)] + [("same", "a b c a"), ("same2", "a b c a")]
+    texts = [words(r.choice([0, 1, 4, 12, 30]), "abcd") for _ in range(60)] + ["aa bb cc dd ee ff"]
+    items += [("x", "aa bb cc"), ("y", "dd ee ff")]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    k = 3
+    want = {}
+    for i, t in enumerate(texts):
+        w, out = t.split(), set()
+        for name, it in items:
+            q = it.split()
+            for p in range(len(q)):
+                for at in range(len(w)):
+                    n = 0
+                    while p + n < len(q) and at + n < len(w) and q[p + n] == w[at + n]:
+                        n += 1
+                    if n and n >= min(k, len(q)) and not (p and at and q[p - 1] == w[at - 1]):
+                        out.add((name, p, at, n))
+        want[i] = out
+    for pairs in (1 << 20, 1):
+        suffix_search.PAIRS = pairs
+        got = {x.doc_id: {tuple(m) for m in x.matches} for x in suffix_search.matches(docs, bench, window=k)[0].collect()}
+        assert got == want
+    suffix_search.PAIRS = 1 << 20
+    last = suffix_search.contaminated(docs, bench, window=k).filter("doc_id = 60").first()
+    assert (last.starts, last.ends, last.n_hit) == ([0, 3], [3, 6], 6)
 
 
 def test_licences_in_full(spark):
