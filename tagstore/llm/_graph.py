@@ -10,7 +10,7 @@ def components(spark, edges: DataFrame) -> DataFrame:
 
     In each round every node takes the smallest label among itself and its neighbours, then the
     label of that label, so that long chains halve. Rounds are written tables, so lost executors
-    repeat one round at most.
+    repeat one round at most. The result is a stored table, which the caller releases.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = stored(spark, both, "edges")
@@ -25,4 +25,5 @@ def components(spark, edges: DataFrame) -> DataFrame:
         release(spark, labels)
         labels = new
         if not changed:
-            return labels.select("id", "component")
+            release(spark, both)
+            return labels

@@ -11,7 +11,7 @@ Candidates are confirmed on full sets of 64-bit shingle hashes.
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MAX_ID, drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, split, stored, text_buffer, word_hashes, word_spans
+from ._common import drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, release, split, stored, text_buffer, word_hashes, word_spans
 from ._graph import components
 
 SYMBOLS, CHUNKS = 64, 16
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, row=None) -> DataFrame:
         )
 
     known = F.lit(None).cast("long") if row is None else F.col(row)
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), known.alias("row"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), known.alias("row"), "text").mapInArrow(
         lambda batches: _rows(batches, made), "doc_id long, row long, n_shingles long, set_key binary, sig array<long>"
     )
 
@@ -101,8 +101,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ids = wanted.select("doc_id").distinct()
     n = ids.limit(BROADCAST_IDS + 1).count()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID)).alias("doc_id"), "text")
-    rows = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    rows, ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.withColumnRenamed("doc_id", "_wanted")
+    rows = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
 
     def made(b, lo, hi, buf, off):
         sets = shingle_sets(buf, off)
@@ -165,7 +165,7 @@ def _shared_with_others(rows: DataFrame) -> DataFrame:
         h = np.concatenate(parts)
         lo, hi = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)]) for k in ("lo", "hi"))
         values, at = np.unique(h, return_inverse=True)
-        least, most = np.full(len(values), MAX_ID), np.full(len(values), -(2**63))
+        least, most = np.full(len(values), 2**63 - 1), np.full(len(values), -(2**63))
         np.minimum.at(least, at, lo)
         np.maximum.at(most, at, hi)
         several = values[least < most]
@@ -250,7 +250,7 @@ def _near(x, y):
     return differ <= FARTHEST
 
 
-def _named(classes, named, reps):
+def _named(classes, named, reps, used):
     """set_key, copies, component (smallest doc_id) and keeper (the row that is kept of the component) of every class.
 
     As in _members, the components that hold more than one in HOT of the linked classes are
@@ -261,6 +261,7 @@ def _named(classes, named, reps):
     limit = named.count() // HOT
     size = named.groupBy("component").agg(F.count("*").alias("size"))
     roots = stored(reps.sparkSession, size.join(reps.select(F.col("id").alias("component"), "doc_id", "row"), "component"), "roots")
+    used.append(roots)
     hot, cold = F.broadcast(roots.filter(F.col("size") > limit)), roots.filter(F.col("size") <= limit)
     linked = linked.drop("doc_id", "row")
     plain = linked.join(hot.select("component"), "component", "left_anti").join(cold, "component")
@@ -298,22 +299,30 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR, row=None) -> DataFrame:
     signatures and the numbers of shingles shared with other components allow the similarity. Pairs
     within a component need no comparison. A component is named by its smallest doc_id, where a
     null counts as larger than all others, and keeps one row of that doc_id; rows of one doc_id
-    but different texts are different classes. Rows without words are linked with nothing and kept.
+    but different texts are different classes. Rows without words are linked with nothing and kept. doc_id
+    must be a whole number or null; other columns of docs are ignored. An empty table gives no rows. The result is a stored
+    table; all that leads to it is deleted.
     """
     spark = docs.sparkSession
     num, den = similar
     table = signatures(docs, row)
     if row is None:  # written once, so it stays the same
         table = table.withColumn("row", F.monotonically_increasing_id())
-    table = stored(spark, table, "signatures")
-    reps = table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min_by(F.struct("doc_id", "row", "n_shingles", "sig"), F.struct("doc_id", "row")).alias("x"), F.count("*").alias("copies"))
-    reps = reps.select("set_key", "copies", "x.doc_id", "x.row", F.col("x.n_shingles").alias("n"), "x.sig").sort("doc_id", "set_key")
-    reps = stored(spark, reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    table, used = stored(spark, table, "signatures"), []
+
+    def keep(df, name):  # until the end of this call
+        used.append(stored(spark, df, name))
+        return used[-1]
+
+    used.append(table)
+    reps = table.filter(F.col("sig").isNotNull()).groupBy("set_key").agg(F.min_by(F.struct("doc_id", "row", "n_shingles", "sig"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("x"), F.count("*").alias("copies"))
+    reps = reps.select("set_key", "copies", "x.doc_id", "x.row", F.col("x.n_shingles").alias("n"), "x.sig").sort(F.col("doc_id").asc_nulls_last(), "set_key")
+    reps = keep(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
     classes = reps.select("id", "set_key", "copies", "doc_id", "row")
     masks = F.array(*[F.lit(x) for x in ((1 << 48) - 1, ~(0xFFFF << 32), ~(0xFFFF << 16), ~0xFFFF)])
     keyed = reps.select("id", F.posexplode("sig").alias("chunk", "s")).select("id", "chunk", "s", F.posexplode(masks).alias("hole", "mask")).select(F.xxhash64("chunk", "hole", F.col("s").bitwiseAND(F.col("mask"))).alias("key"), "id")
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
-    met = stored(spark, keyed.join(shared, "key").select("key", "first", "id"), "met")
+    met = keep(keyed.join(shared, "key").select("key", "first", "id"), "met")
     drop_unused_shuffles(spark)
     small = reps.select("id", "n", "sig")
 
@@ -322,42 +331,48 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR, row=None) -> DataFrame:
         both = pairs.join(a, "a").join(b, "b")
         return both.filter((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & _near("sa", "sb")).select("a", "b")
 
-    wanted = stored(spark, reps.select("id", "doc_id", "set_key").join(met.select("id").distinct(), "id", "left_semi"), "wanted")
-    sets = stored(spark, full_sets(docs, wanted), "sets")
+    wanted = keep(reps.select("id", "doc_id", "set_key").join(met.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = keep(full_sets(docs, wanted), "sets")
     led = met.filter("first < id").select("id", "first")
     links = named = None
     for more in (True, False):
         led = led.groupBy("id", "first").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("x"))
         led = led.select(F.least(-F.col("x.f"), "id").alias("a"), F.greatest(-F.col("x.f"), "id").alias("b")).distinct()
-        found = stored(spark, _confirm(fits(led), sets, similar), "links")
+        found = keep(_confirm(fits(led), sets, similar), "links")
         links = found if links is None else links.unionByName(found)
         drop_unused_shuffles(spark)
+        if named is not None:
+            release(spark, named)
         named = components(spark, links)
         of = met.select("key", "id").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         open_keys = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-        rest = stored(spark, of.join(open_keys, "key", "left_semi"), "open")
+        rest = keep(of.join(open_keys, "key", "left_semi"), "open")
         shared = _shared_with_others(rest.select("id", "c").distinct().join(sets, "id")).join(small, "id").filter(F.col("shared") * den >= F.col("n") * num)
-        rest = rest.select("key", "id").join(stored(spark, shared, "possible"), "id")
+        rest = rest.select("key", "id").join(keep(shared, "possible"), "id")
         if more:
             hub = rest.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("id")).alias("f"), "c")).alias("hub"))
             led = rest.select("key", "id", "c").join(hub, "key").filter("c <> hub.c").select("id", (-F.col("hub.f")).alias("first"))
     crowded = rest.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("b")).filter(F.col("m") > CROWD).select("key", "b")
-    crowds = components(spark, rest.join(crowded, "key").select(F.col("id").alias("a"), "b").distinct()).withColumnRenamed("component", "crowd")
-    crowds = stored(spark, crowds, "crowds")
+    used.append(components(spark, rest.join(crowded, "key").select(F.col("id").alias("a"), "b").distinct()))
+    crowds = used[-1].withColumnRenamed("component", "crowd")
     rest = rest.join(crowds, "id", "left")
     sides = [rest.select("key", *[F.col(x).alias(x + s) for x in ("id", "c", "n", "shared", "sig", "crowd")]) for s in "ab"]
     bound = F.least("shareda", "sharedb") * (num + den) >= (F.col("na") + F.col("nb")) * num
     apart = F.coalesce(F.col("crowda") != F.col("crowdb"), F.lit(True))
     more = sides[0].join(sides[1], "key").filter((F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & apart & bound & _near("siga", "sigb"))
-    more = stored(spark, more.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
+    more = keep(more.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct(), "pairs")
     links = links.unionByName(_confirm(more, sets, similar))
     members = rest.dropDuplicates(["id"]).filter(F.col("crowd").isNotNull()).select("id", "crowd", "c", "shared", "sig").join(sets, "id")
     links = links.unionByName(_confirm_crowds(members, similar))
-    named = components(spark, stored(spark, links, "links"))
-    out = _members(table, stored(spark, _named(classes, named, reps), "classes"))
-    known = F.when(F.col("doc_id") != MAX_ID, F.col("doc_id"))
+    links = keep(links, "links")
+    release(spark, named)
+    named = components(spark, links)
+    classes = stored(spark, _named(classes, named, reps, used), "classes")
+    out = _members(table, classes)
     also = [] if row is None else [F.col("row").alias(row)]
-    return out.select(known.alias("doc_id"), "n_shingles", F.when(F.col("component") != MAX_ID, F.col("component")).alias("component_id"), (F.col("row") == F.col("keeper")).alias("kept"), *also)
+    out = stored(spark, out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("row") == F.col("keeper")).alias("kept"), *also), "near")
+    release(spark, classes, named, *used)
+    return out
 
 
 def op10(spark, sf_dir):

@@ -352,6 +352,15 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert sum(r.kept for r in plain) == 6
 
 
+def test_near_duplicates_extreme_ids_and_empty_table(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(2**63 - 1, a), (None, a), (-(2**63), b), (-5, b + " b40"), (None, "lone words here"), (2**63 - 1, "other")]
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, "c", True) for i, t in rows], "doc_id long, text string, set_key string, kept boolean")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(2**63 - 1, 2**63 - 1, True), (None, 2**63 - 1, False), (-(2**63), -(2**63), True), (-5, -(2**63), False), (None, None, True), (2**63 - 1, 2**63 - 1, True)], key=repr)
+    assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_pipeline_near_dedup_keeps_one_row_of_each_group(spark, tmp_path):
     import corpus_pipeline
 
