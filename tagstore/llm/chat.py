@@ -58,7 +58,8 @@ def format_chats(rows: DataFrame, template: Template = Template()) -> DataFrame:
     Rows of a conversation are ordered by turn, nulls first, then role and text, so ties are
     settled alike each time; repeated rows stay. A null text is empty, a null role is an empty
     role. Rows with a null conv_id form one conversation. Other columns are ignored. valid says
-    whether the state machine accepts the roles; nothing is dropped for being invalid.
+    whether the state machine accepts the roles; nothing is dropped for being invalid. A conversation is one row, so it
+    must fit in a task, as its formatted text must. An empty table gives no rows.
     """
     t = template
     clean = rows.select(

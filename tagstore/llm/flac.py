@@ -431,10 +431,14 @@ def _parts(sizes, most=16 << 20):
 
 
 def encode_texts(docs: DataFrame) -> DataFrame:
-    """docs with `n_bytes` and `media`, the FLAC stream of the text's payload. Null and empty texts give 64 zeros; all other columns pass through but text."""
+    """docs with `n_bytes` and `media`, the FLAC stream of the text's payload, in place of text.
+
+    Null and empty texts give 64 zeros; each row is coded alone, so repeated rows and null ids do not matter; an empty table stays
+    empty. Other columns pass through; columns of docs named n_bytes or media give way.
+    """
     import pyarrow as pa
 
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "n_bytes", "media")]
 
     def run(batches):
         for b in batches:
@@ -450,9 +454,13 @@ def encode_texts(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """media with `blocks`, an array of (first_sample, pcm). A null stream gives null blocks; a damaged one raises Damaged."""
+    """media with `blocks`, an array of (first_sample, pcm). A null stream gives null blocks; a damaged one raises Damaged.
+
+    Other columns pass through; a column of media named blocks gives way. An empty table stays empty.
+    """
     import pyarrow as pa
 
+    media = media.drop("blocks")
     fields = media.schema.fields
     block = T.StructType([T.StructField("first_sample", T.LongType()), T.StructField("pcm", T.BinaryType())])
     kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("pcm", pa.binary())]))

@@ -176,9 +176,10 @@ MATCH = T.ArrayType(T.StructType([T.StructField("licence", T.StringType()), T.St
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, cut=CUT) -> DataFrame:
-    """docs with `matches`; all rows and columns are kept. Null and empty texts have none. Each row is judged alone, so repeated rows and ids do not matter."""
+    """docs with `matches`; all rows and columns are kept. Null and empty texts have none. Each row is judged alone, so repeated rows and ids do not matter; a column of docs named matches gives way; an empty table stays empty."""
     import pyarrow as pa
 
+    docs = docs.drop("matches")
     at = docs.columns.index("text")
     kind = pa.list_(pa.struct([("licence", pa.string()), ("template", pa.int32()), ("dice", pa.float64()), ("first_byte", pa.int64()), ("n_bytes", pa.int64())]))
 

@@ -6,20 +6,20 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 100_000  # a source table of at most so many rows is broadcast
 
 
-def with_size(docs: DataFrame) -> DataFrame:
-    """Add `_size`, the words of the whole text; null and empty texts have 0."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
+def size(text="text"):
+    """The words of the whole text; null and empty texts have 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def source_targets(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0) -> DataFrame:
-    """One row per source: source, source_size, target.
+    """One row per source of rows (source, size): source, source_size, target.
 
     Sources stand by code point, null last, and take `weights` in turn. The targets share
     `share` times all sizes by weight, none above `most` times its source's size; what a source
     cannot take is shared again by weight. That fixed point is found in closed form: with sources
     by size over weight, the capped ones are a prefix, and the water level is the greatest over all prefixes. Sources of size 0 have target 0.
     """
-    by_source = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
@@ -37,46 +37,35 @@ def source_targets(sized: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0) ->
 
 
 def plan_mix(docs: DataFrame, weights=(5, 2, 1), share=1.5, most=2.0, seed=17) -> DataFrame:
-    """docs with `_size`, `_source_size`, `_target`, `_copies`.
+    """One row per row of docs: doc (all its columns), size, source_size, target, copies.
 
     The rate of a source is its target over its size. A document is taken floor(rate) times, and
     once more if a hash of the seed and its doc_id, read as a number in [0, 1), is below the
     rate's fraction. Rows with equal doc_id share that draw; a null doc_id draws as the text
-    'null'. Reruns agree. Other columns of docs pass through. An empty table gives no rows.
+    'null'. Reruns agree. Columns of docs may have any names. An empty table gives no rows.
     """
-    sized = with_size(docs)
-    sources = source_targets(with_size(docs.select("source", "text")), weights, share, most)
-    known = sources.select(
-        F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
+    sources = source_targets(docs.select("source", size().alias("size")), weights, share, most)
+    known = sources.select(F.col("source").alias("_s"), "source_size", "target")
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
-    joined = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10)
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), size().alias("size"))
+    joined = sized.join(known, F.col("doc.source").eqNullSafe(F.col("_s"))).drop("_s")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10)
     copies = F.floor(rate) + (draw.cast("double") / F.lit(4294967296.0) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("_copies", copies.cast("long"))
+    return joined.select("doc", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of docs as often as plan_mix says, with the columns of docs."""
     planned = plan_mix(docs, **how)
-    return (
-        planned.filter(F.col("_copies") > 0)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*docs.columns)
-    )
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return planned.filter(F.col("copies") > 0).select("doc", copy).select("doc.*")
 
 
 def op5(spark, sf_dir):
-    planned = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return planned.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).alias("taken"),
-    )
+    planned = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return planned.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP5_SQL = r"""

@@ -62,7 +62,7 @@ def mine(labelled: DataFrame, support=0.05, confidence=0.95, lift=1.2, most_toke
 
 
 def judge(pages: DataFrame, rules=RULES, **how) -> DataFrame:
-    """pages with host, path, rule and verdict; every row is kept, extra columns pass through.
+    """pages with host, path, rule and verdict; every row is kept, and other columns pass through; columns of pages with these names give way.
 
     The longest fitting fixed rule decides. The rows it decides are the labels for mine(); a row
     that no fixed rule fits is blocked if all tokens of a mined rule are among its own, else
@@ -70,7 +70,9 @@ def judge(pages: DataFrame, rules=RULES, **how) -> DataFrame:
     to rules, so a common host is matched once. Null and broken urls have no tokens and are
     allowed. An empty table gives no rows.
     """
-    parts = with_parts(pages).withColumn("_fixed", fixed_rule(rules)).withColumn("_tokens", tokens())
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parts = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("page"), "url")
+    parts = with_parts(parts).withColumn("_fixed", fixed_rule(rules)).withColumn("_tokens", tokens())
     labelled = parts.filter(F.col("_fixed").isNotNull()).select(F.col("_tokens").alias("tokens"), F.col("_fixed.verdict").alias("verdict"))
     mined = mine(labelled, **how).select("antecedent", F.monotonically_increasing_id().alias("rule_id"))
     postings = mined.select("rule_id", F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
@@ -86,7 +88,7 @@ def judge(pages: DataFrame, rules=RULES, **how) -> DataFrame:
     )
     out = parts.withColumn("_combo", F.concat_ws("\n", "_tokens")).join(bounded(found), "_combo", "left")
     verdict = F.coalesce(F.col("_fixed.verdict"), F.col("_mined"), F.lit("allow"))
-    return out.select(*pages.columns, "host", "path", F.col("_fixed.rule").alias("rule"), verdict.alias("verdict"))
+    return out.select("page.*", "host", "path", F.col("_fixed.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def bounded(df: DataFrame) -> DataFrame:

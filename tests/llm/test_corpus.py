@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagstore.llm import chat, flac, huffman, licenses, minhash, mixing, suffix_dedup, suffix_search, toxicity, url_rules
 
@@ -154,8 +155,8 @@ def test_mixing(spark, docs):
     planned = mixing.plan_mix(docs).collect()
     size = {}
     for r in planned:
-        assert r._size == len(_words(r.text)) and 0 <= r._copies <= 2
-        size[r.source] = size.get(r.source, 0) + r._size
+        assert r.size == len(_words(r.doc.text)) and 0 <= r.copies <= 2
+        size[r.doc.source] = size.get(r.doc.source, 0) + r.size
     names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     target, free, left = {}, set(names), 1.5 * sum(size.values())
@@ -169,9 +170,9 @@ def test_mixing(spark, docs):
             target[s] = 2.0 * size[s]
         left -= sum(target[s] for s in over)
         free -= over
-    assert all(abs(r._target - target[r.source]) < 1e-6 and r._source_size == size[r.source] for r in planned)
+    assert all(abs(r.target - target[r.doc.source]) < 1e-6 and r.source_size == size[r.doc.source] for r in planned)
     out = mixing.mix(docs)
-    assert out.columns == docs.columns and out.count() == sum(r._copies for r in planned)
+    assert out.columns == docs.columns and out.count() == sum(r.copies for r in planned)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -318,6 +319,29 @@ def test_licenses(spark):
         assert (scanner.best(b) or (0,))[0] == (best if best >= 0.3 else 0)
 
 
+def test_clashing_names_null_ids_repeats_and_empty_tables(spark):
+    names = "size source_size target copies doc media n_bytes blocks matches score predicted host path rule verdict _s _kept".split()
+    rows = [(1, "one two", "a"), (1, "one two", "a"), (None, "x " * 9, None), (None, None, "a"), (None, "x " * 9, None), (3, "", "b")]
+    d = spark.createDataFrame([(i, t, s, *[777] * len(names)) for i, t, s in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    mixed = mixing.mix(d)
+    assert mixed.columns == d.columns and all(r[n] == 777 for r in mixed.collect() for n in names)
+    taken = mixing.plan_mix(d).collect()
+    assert len(taken) == 6 and {(r.doc.doc_id, r.size) for r in taken} == {(1, 2), (None, 9), (None, 0), (3, 0)}
+    media = flac.decode_media(flac.encode_texts(d))
+    back = media.collect()
+    assert len(set(media.columns)) == len(media.columns) and sorted(sum(len(b.pcm) for b in r.blocks) for r in back) == [64] * 6
+    found = licenses.scan(d)
+    assert found.count() == 6 and found.columns.count("matches") == 1
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    judged = toxicity.classify(d, labels)
+    assert judged.count() == 6 and judged.columns.count("score") == 1 and toxicity.clean(d, labels).columns == d.columns
+    pages = d.withColumn("url", F.lit("http://a.com/en/x"))
+    out = url_rules.judge(pages)
+    assert sorted(out.columns) == sorted(pages.columns) and {(r.host, r.rule, r.verdict) for r in out.collect()} == {("a.com", "com/en/", "block")}
+    for f in (mixing.mix, flac.encode_texts, licenses.scan, lambda x: toxicity.classify(x, labels), url_rules.judge, lambda x: chat.format_chats(x.select("doc_id", "text").withColumnsRenamed({"doc_id": "conv_id"}).withColumns({"turn": F.lit(1), "role": F.lit("user")}))):
+        assert f(pages.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
