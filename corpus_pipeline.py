@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Null and empty texts are ordinary, alone and clean, have no words to mix and a token sequence of the end id alone; the mix takes
+such documents as often as its source's rate says. Repeated rows are copies: near-dedup keeps one. Empty tables stay
+empty, and columns may have any names.
+"""
 
 from pyspark.sql import functions as F
 
@@ -6,36 +11,35 @@ from tagstore.llm import _common, huffman, minhash, mixing, suffix_search, toxic
 
 
 def _toxicity(spark, docs, sf_dir):
-    """Documents that the classifier does not reject."""
-    judged = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged.filter("predicted = 0").select(*docs.columns)
+    """Documents that the classifier does not reject; null and empty texts stay."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _near_dedup(spark, docs, sf_dir):
-    """One document of each group of near duplicates: one with the smallest doc_id.
+    """One document of each group of near duplicates: one with the smallest doc_id, nulls last. Documents without words stay.
 
-    Rows are told apart by their place in the files of docs, since doc_ids may be null or repeated.
+    Rows are told apart by their place in the files of docs, by a hash of 64 bits, since doc_ids may be null or repeated.
     """
-    columns = docs.columns
-    docs = docs.withColumn("_row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
-    kept = minhash.near_duplicates(docs.select("doc_id", "text", "_row"), row="_row").filter("kept").select("_row")
-    kept = _common.stored(spark, kept, "kept")
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), place)
+    near = minhash.near_duplicates(rows.select("doc.doc_id", "doc.text", "row"), row="row")
+    kept = near.filter("kept").select("row")
     few = kept.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS
-    return docs.join(F.broadcast(kept) if few else kept, "_row", "left_semi").select(*columns)
+    return rows.join(F.broadcast(kept) if few else kept, "row", "left_semi").select("doc.*")
 
 
 def _decontamination(spark, docs, sf_dir):
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts stay."""
     return suffix_search.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _mixing(spark, docs, sf_dir):
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; rows with one doc_id, and rows without, share a draw."""
     return mixing.mix(docs)
 
 
 def _token_ids(spark, docs, sf_dir):
-    """Offsets, lengths and checksums of the token ids, read back from their files."""
+    """Offsets, lengths and checksums of the token ids, read back from their files; one row for each document, null ids first."""
     return huffman.digests(docs)
 
 
@@ -51,8 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; what a stage wrote is deleted when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = _common.stored(spark, stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            _common.release(spark, before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    _common.release(spark, docs)
+    return out
