@@ -29,6 +29,23 @@ def geometric_pmf(z: int, epsilon: float):
     return [x / sum(w) for x in w]
 
 
+def geometric_weights(z: int, epsilon: float):
+    """The weights that loads are drawn with: from the middle on, step i multiplies by a to the power of i, so they fall faster than a geometric series and do not sum to 1."""
+    a, half = math.exp(-epsilon), z // 2
+    middle = (1 - a) / (1 + a - 2 * a ** (half + 1))
+    return [middle * a ** (abs(i - half) * (abs(i - half) + 1) // 2) for i in range(z + 1)]
+
+
+def align(size: int, unit: int = 16):
+    """(size rounded down, size rounded up) to a multiple of the unit."""
+    return size // unit * unit, -(-size // unit) * unit
+
+
+def bin_factor(capacity: int, bin_capacity: int, lam: int):
+    """How many bins a bucket is spread over: 2 * capacity / (bin_capacity * (1 - 1 / ln(lambda)^2))."""
+    return 2 * capacity / (bin_capacity * (1 - math.log(lam) ** -2))
+
+
 def convolve(p, times: int):
     """Distribution of the sum of `times` independent draws."""
     out = [1.0]

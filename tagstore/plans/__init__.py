@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import geometric_pmf, convolve, hash_uniform, laplace, level_schedule
+from ..functions import convolve, geometric_pmf, level_schedule
 from ..operators import append_operands, as_of, bucket_weights, bucketise, bursts, conflicts, delete_ranges, last_n, latest, multi_get, overlap, overlay, range_records, replicas, resolve, reuse_gaps, sorted_list, tags, transitions
 from ..sources import records, table, versions
 from ._registry import ORACLE_SQL, QUERIES, query
@@ -54,10 +54,10 @@ def interval_overlap(s, d):
     return overlap(_qlog(s, d), tags(bucketise(_recs(s, d), CAPACITY)), CELL)
 
 
-@query(f"WITH {BKT}, {QLOG} SELECT bucket_no, count(*) AS pending, 2 * count(*) AS increment_weight, 1 AS constant_weight FROM q JOIN t ON q.\"left\" <= t.\"right\" AND q.\"right\" >= t.\"left\" GROUP BY 1")
+@query(f"WITH {BKT}, {QLOG} SELECT bucket_no, count(*) AS pending, 2 * count(*) AS increment_weight, 1 AS constant_weight, power(2.0::DOUBLE, count(*)) AS multiplied_weight FROM q JOIN t ON q.\"left\" <= t.\"right\" AND q.\"right\" >= t.\"left\" GROUP BY 1")
 def pending_weights(s, d):
     met = overlap(_qlog(s, d), tags(bucketise(_recs(s, d), CAPACITY)), CELL)
-    return met.groupBy("bucket_no").agg(F.count("*").alias("pending"), (2 * F.count("*")).alias("increment_weight"), F.lit(1).alias("constant_weight"))
+    return met.groupBy("bucket_no").agg(F.count("*").alias("pending"), (2 * F.count("*")).alias("increment_weight"), F.lit(1).alias("constant_weight"), F.pow(F.lit(2.0), F.count("*")).alias("multiplied_weight"))
 
 
 @query(f"WITH {REC}, {QLOG} SELECT qid, key, op, ts, val FROM q JOIN r ON key BETWEEN q.\"left\" AND q.\"right\"")
@@ -132,40 +132,21 @@ def as_of_join(s, d):
     return as_of(p, v, "k", "at", "ts", "value")
 
 
-@query("WITH b AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer), x AS (SELECT o_custkey AS key, CASE WHEN max(o_orderkey) % 5 = 0 THEN 'delete' ELSE 'put' END AS op, max(o_totalprice) AS value FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT coalesce(b.key, x.key) AS key, coalesce(x.value, b.value) AS value FROM b FULL JOIN x ON b.key = x.key WHERE x.op IS NULL OR x.op <> 'delete'")
-def batch_overlay(s, d):
-    base = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
-    o = table(s, d, "orders").filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("key"))
-    return overlay(base, o.agg(F.when(F.max("o_orderkey") % 5 == 0, "delete").otherwise("put").alias("op"), F.max("o_totalprice").alias("value")))
-
-
-@query("SELECT l_orderkey AS key, o_totalprice AS value FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
-def multi_key_get(s, d):
-    keys = table(s, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("key"))
-    store = table(s, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
-    return multi_get(keys, store)
-
-
-@query(f"WITH {VER} SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderkey % 10 = 0 AND EXISTS (SELECT 1 FROM v WHERE v.key = o_orderkey AND v.seq > 4)")
-def conflict_detection(s, d):
-    return conflicts(table(s, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("key"), F.lit(4).alias("snapshot")), _vers(s, d)).distinct()
-
-
 @query("WITH b AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer), x AS (SELECT o_custkey AS key, CASE WHEN max(o_orderkey) % 5 = 0 THEN 'delete' ELSE 'put' END AS op, max(o_totalprice) AS value FROM orders GROUP BY 1) SELECT coalesce(b.key, x.key) AS key, coalesce(x.value, b.value) AS value FROM b FULL JOIN x ON b.key = x.key WHERE x.op IS NULL OR x.op <> 'delete'")
-def batch_overlay_all(s, d):
+def batch_overlay(s, d):
     base = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key"))
     return overlay(base, o.agg(F.when(F.max("o_orderkey") % 5 == 0, "delete").otherwise("put").alias("op"), F.max("o_totalprice").alias("value")))
 
 
 @query("SELECT c_custkey AS key, value FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS value FROM orders GROUP BY 1) ON c_custkey = o_custkey")
-def multi_key_get_all(s, d):
+def multi_key_get(s, d):
     store = table(s, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
     return multi_get(table(s, d, "customer").select(F.col("c_custkey").alias("key")), store)
 
 
 @query(f"WITH {VER} SELECT DISTINCT o_orderkey AS key FROM orders WHERE EXISTS (SELECT 1 FROM v WHERE v.key = o_orderkey AND v.seq > 4)")
-def conflict_detection_all(s, d):
+def conflict_detection(s, d):
     return conflicts(table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit(4).alias("snapshot")), _vers(s, d)).distinct()
 
 
@@ -230,10 +211,10 @@ def unique_keys_so_far(s, d):
     return e.groupBy("hour").agg(F.count("*").alias("fresh")).select("hour", F.sum("fresh").over(Window.orderBy("hour")).alias("seen"))
 
 
-@query("SELECT event_type, round(min(value), 6) AS lo, round(max(value), 6) AS hi, max_by(event_id, (ts, event_id)) AS latest, min_by(event_id, (ts, event_id)) AS oldest FROM events GROUP BY 1")
+@query("SELECT event_type, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(avg(value), 6) AS mean, max_by(event_id, (ts, event_id)) AS latest, min_by(event_id, (ts, event_id)) AS oldest FROM events GROUP BY 1")
 def series_aggregates(s, d):
     at = F.struct("ts", "event_id")
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.max_by("event_id", at).alias("latest"), F.min_by("event_id", at).alias("oldest"))
+    return table(s, d, "events").groupBy("event_type").agg(F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"), F.round(F.avg("value"), 6).alias("mean"), F.max_by("event_id", at).alias("latest"), F.min_by("event_id", at).alias("oldest"))
 
 
 @query("WITH x AS (SELECT user_id, event_id, value, lag(value, 2) OVER w AS v, lag(event_id, 2) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id FROM x WHERE (value - v) / (event_id - t) >= 0.5")
@@ -247,22 +228,15 @@ def rollup_summary(s, d):
     return e.rollup("event_type", "shard").agg(F.count("*").alias("n"), F.grouping("event_type").cast("long").alias("g"))
 
 
-@query("WITH h AS (SELECT floor(epoch(ts) / 3600)::BIGINT AS bin, count(*) AS load FROM events GROUP BY 1), u AS (SELECT *, ('0x' || substr(md5('17:' || bin), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM h) SELECT bin, load, sum(load) OVER (ORDER BY bin)::BIGINT AS prefix, round(greatest(load - 8, least(load + 8, load - sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5)))), 6) AS noisy FROM u")
-def noisy_prefix_sums(s, d):
-    h = table(s, d, "events").groupBy(F.floor(F.unix_timestamp("ts") / 3600).alias("bin")).agg(F.count("*").alias("load"))
-    noisy = F.greatest(F.col("load") - 8.0, F.least(F.col("load") + 8.0, F.col("load") + laplace(hash_uniform("bin"), 1)))
-    return h.select("bin", "load", F.sum("load").over(Window.orderBy("bin")).alias("prefix"), F.round(noisy, 6).alias("noisy"))
-
-
 @query(None)
 def level_counters(s, d):
     rows = [(i + 1, at, l, n) for i, (at, held) in enumerate(level_schedule(4, 64)) for l, n in enumerate(held)]
     return s.createDataFrame(rows, "insert_no int, landing int, level int, batches long")
 
 
-@query(None)
+@query("WITH w AS (SELECT unnest(range(0, 9)) AS i), g AS (SELECT i, exp(-abs(i - 4)::DOUBLE) / (SELECT sum(exp(-abs(i - 4)::DOUBLE)) FROM w) AS p FROM w), c AS (SELECT a.i + b.i AS i, sum(a.p * b.p) AS p FROM g a, g b GROUP BY 1) SELECT a.i + b.i AS total, round(sum(a.p * b.p), 12) AS p FROM c a, c b GROUP BY 1")
 def bin_load_distribution(s, d):
-    return s.createDataFrame([(i, p) for i, p in enumerate(convolve(geometric_pmf(8, 1.0), 4))], "total int, p double")
+    return s.createDataFrame([(i, round(p, 12)) for i, p in enumerate(convolve(geometric_pmf(8, 1.0), 4))], "total long, p double")
 
 
-from . import layers, traces  # noqa: E402, F401  further queries register themselves
+from . import layers, store, traces  # noqa: E402, F401  further queries register themselves

@@ -108,10 +108,10 @@ def test_bin_capacity():
 
 def test_queries_over_all_orders(spark):
     o = spark.read.parquet(f"{SF}/orders.parquet")
-    keys = {r.key for r in plans.QUERIES["conflict_detection_all"](spark, SF).collect()}
+    keys = {r.key for r in plans.QUERIES["conflict_detection"](spark, SF).collect()}
     assert {k % 10 for k in keys} == set(range(10))
     buyers = {r.o_custkey for r in o.select("o_custkey").distinct().collect()}
-    got = {r.key: r.value for r in plans.QUERIES["multi_key_get_all"](spark, SF).collect()}
+    got = {r.key: r.value for r in plans.QUERIES["multi_key_get"](spark, SF).collect()}
     assert {k for k, v in got.items() if v is not None} == buyers & set(got)
     last = {r.k: r.o for r in o.groupBy(o.o_custkey.alias("k")).agg({"o_orderkey": "max"}).toDF("k", "o").collect()}
-    assert {k for k, x in last.items() if x % 5 == 0}.isdisjoint(r.key for r in plans.QUERIES["batch_overlay_all"](spark, SF).collect())
+    assert {k for k, x in last.items() if x % 5 == 0}.isdisjoint(r.key for r in plans.QUERIES["batch_overlay"](spark, SF).collect())
