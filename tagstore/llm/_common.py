@@ -122,9 +122,6 @@ def word_spans(buf, off, table):
     return starts, ends, np.searchsorted(off, starts, side="right") - 1
 
 
-_B, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-
-
 def mix(x):
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))
@@ -134,31 +131,28 @@ def mix(x):
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base, n):
-    p = np.full(n, base, np.uint64)
-    if n:
-        p[0] = 1
-    return np.multiply.accumulate(p)
+_MASKS = np.array([(1 << (8 * min(n, 8))) - 1 for n in range(9)], np.uint64)
+LONG = 256  # bytes; longer words are hashed one by one
 
 
 def word_hashes(buf, starts, ends):
-    """64-bit hashes of words, the same for equal bytes wherever they stand."""
-    n = len(buf)
+    """64-bit hashes of words, the same for equal bytes wherever they stand: words are read eight bytes at a time."""
+    import hashlib
+
+    n = ends - starts
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
     with np.errstate(over="ignore"):
-        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        out, step = np.empty(len(starts), np.uint64), 1 << 21
-        if not len(starts):
-            return out
-        lo = 0
-        while lo < len(starts):  # in pieces that begin at a word, to bound memory
-            base = starts[lo]
-            hi = max(lo + 1, int(np.searchsorted(ends, base + step, side="right")))
-            piece = buf[base : ends[hi - 1]]
-            total = np.zeros(len(piece) + 1, np.uint64)
-            np.cumsum(table[piece] * _powers(_B, len(piece)), out=total[1:])
-            s, e = starts[lo:hi] - base, ends[lo:hi] - base
-            out[lo:hi] = mix((total[e] - total[s]) * _powers(_INV, len(piece) + 1)[s] + (e - s).astype(np.uint64))
-            lo = hi
+        out = mix((eights[starts] & _MASKS[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        live, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+        while len(live):
+            part = eights[starts[live] + at] & _MASKS[np.minimum(n[live] - at, 8)]
+            out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) + part)
+            at += 8
+            live = live[n[live] > at]
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 

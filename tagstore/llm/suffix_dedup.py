@@ -1,27 +1,31 @@
 """Substring dedup: suffix trees over word sequences, partitioned by variable-length prefixes.
 
-A sparse suffix tree is built: of the suffixes only those are kept that start at an anchor, the
+A sparse suffix tree is built: of the suffixes only those near an anchor are kept, the
 7-gram with the least hash among the 7 that a window of 13 words holds. Equal windows have equal
-anchors at equal places, so no repeat is lost, and a quarter of the suffixes remains.
+anchors at equal places, so no repeat is lost.
 
-1. Each group of documents reports the hashes of its anchors once; anchors that only one group
+1. Each group of rows (about GROUP_BYTES of text, dealt by a hash of the row) reports the hashes of its anchors once; anchors that only one group
    knows and that it knows once cannot start a repeat and are dropped.
-2. The suffixes that remain are cut to what the windows around an anchor cover and are dealt out
-   by their prefix: the anchor's 7 words, or, where more than a share of all groups knows an anchor, the
-   whole window of 13 words. A group reports equal suffixes once, with its smallest and largest
+2. What the windows around a remaining anchor cover is dealt out by its prefix: the anchor's 7 words, or, where more than a share of all groups knows an anchor, the
+   whole window of 13 words. A group reports equal segments once, with the smallest and largest
    doc_id, so no prefix holds more rows than there are groups and a common passage stays small.
-3. In each prefix partition the suffixes are ranked by doubling to depth 13. Equal ranks are the
-   leaves of one deep internal node, a repeat that neighbouring nodes extend to a maximal one; the
+3. In each prefix partition the words get exact numbers, the suffixes of 13 words or more are sorted, and the common
+   prefixes of neighbours give the subtree. The leaves of a node of string depth 13 or more repeat each other; the
    node's smallest doc_id goes back to the groups that have a larger one.
-4. Each group marks the words that such windows cover in its documents.
+4. Each group marks the words that such windows cover in its documents; windows next to each other
+   make up the maximal repeats.
+
+Words are compared as such inside the subtrees; windows find their way back within a group by a 64-bit hash.
 """
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import MAX_ID, gram_hashes, lut, partitions, split, text_buffer, word_hashes, word_spans
+from ._common import gram_hashes, lut, partitions, split, text_buffer, word_hashes, word_spans
 
 WINDOW = 13
+GROUP_BYTES = 8 << 20  # text of a group of rows
+LAST = 2**63 - 1
 
 
 class Words:
@@ -36,20 +40,22 @@ class Words:
         if n <= 0:
             self.window, self.anchor = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
-        best, arg = self.gram[:n].copy(), np.zeros(n, np.int64)
-        for j in range(1, window - self.anchor_words + 1):
-            less = self.gram[j : j + n] < best
-            best[less], arg[less] = self.gram[j : j + n][less], j
+        span = window - self.anchor_words + 1
+        bits = np.uint64(span.bit_length())  # the place in the window stands in the lowest bits, so the least number tells it
+        best = self.gram[:n] >> bits << bits
+        for j in range(1, span):
+            best = np.minimum(best, self.gram[j : j + n] >> bits << bits | np.uint64(j))
         self.window = np.flatnonzero(self.row[:n] == self.row[window - 1 :])  # windows within one text
-        self.anchor = self.window + arg[self.window]
+        self.anchor = self.window + (best[self.window] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def _pack(segments, low, high):
+def _pack(segments, low, high, null):
+    """Segments with their smallest and largest doc_id; null holds 1 where all, 2 where some doc_ids are null, which count as larger than all others."""
     import zstandard
 
     head = np.array([len(segments)], "<i8").tobytes()
     sizes = np.array([len(s) for s in segments], "<i4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, sizes, np.array(low, "<i8").tobytes(), np.array(high, "<i8").tobytes(), *segments]))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, sizes, np.array(low, "<i8").tobytes(), np.array(high, "<i8").tobytes(), bytes(null), *segments]))
 
 
 def _unpack(blob):
@@ -58,24 +64,91 @@ def _unpack(blob):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at = 8 + 4 * n
-    return np.frombuffer(raw, "<i4", n, 8).astype(np.int64), np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i8", n, at + 8 * n), raw[at + 16 * n :]
+    low, high = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i8", n, at + 8 * n)
+    return np.frombuffer(raw, "<i4", n, 8).astype(np.int64), low, high, np.frombuffer(raw, np.uint8, n, at + 16 * n), raw[at + 17 * n :]
 
 
 def _column(table, name):
     return np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(name)]])
 
 
-def tree_nodes(symbols, row, depth):
-    """For each position the number of the tree node at this depth above its suffix; positions whose suffix is shorter are the caller's to drop."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    n, have = len(rank), 1
-    while have < depth:
-        step = min(have, depth - have)
-        behind = np.zeros(n, np.int64)
-        behind[: max(0, n - step)] = rank[step:]
-        rank = np.unique(rank * (n + 1) + behind, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return rank
+class Subtree:
+    """The suffix tree of some word sequences, down to `most` words: suffixes in order, and what neighbours share.
+
+    words are numbers, row tells the sequences apart; suffixes shorter than `least` words are left out.
+    """
+
+    def __init__(self, words, row, least, most):
+        n = len(words)
+        end = np.searchsorted(row, row, side="right") if n else np.zeros(0, np.int64)
+        at = np.flatnonzero(end - np.arange(n) >= least)
+        size = np.minimum(end[at] - at, most)
+        number = np.append(words.astype(np.uint64) + np.uint64(1), np.zeros(most, np.uint64))
+        width = max(1, int(number.max()).bit_length())
+        per = max(1, 64 // width)
+        keys = []
+        for j in range(0, most, per):  # several words in each sort key; 0 stands behind an end
+            key = np.zeros(len(at), np.uint64)
+            for k in range(j, j + per):
+                key = key << np.uint64(width) | (np.where(size > k, number[at + k], np.uint64(0)) if k < most else np.uint64(0))
+            keys.append(key)
+        order = np.lexsort(keys[::-1]) if len(at) else at
+        self.suffix = at[order]
+        shared, same = np.zeros(max(0, len(at) - 1), np.int64), np.ones(max(0, len(at) - 1), bool)
+        for key in keys:
+            sorted_ = key[order]
+            differ = sorted_[1:] ^ sorted_[:-1]
+            words_ = np.full(len(differ), per, np.int64)
+            some = differ > 0
+            if some.any():
+                words_[some] = (per * width - 1 - np.floor(np.log2(differ[some].astype(np.float64))).astype(np.int64)) // width
+            shared += np.where(same, words_, 0)
+            same &= ~some
+        short = np.minimum(size[order][1:], size[order][:-1])
+        self.shared = np.minimum(shared, short)  # words that a suffix has in common with the one before it
+
+    def deep(self, depth):
+        """First leaves of the highest nodes of at least this string depth, and of the leaves that repeat nothing; the end is the last number."""
+        if not len(self.suffix):
+            return np.zeros(1, np.int64)
+        return np.append(np.flatnonzero(np.append(True, self.shared < depth)), len(self.suffix))
+
+    def nodes(self, depth):
+        """Internal nodes of at least this string depth: (string depth, first leaf, leaf behind the last), inner nodes first."""
+        stack = []
+        for i, h in enumerate([*self.shared.tolist(), 0]):
+            first = i
+            while stack and stack[-1][0] > h:
+                d, first = stack.pop()
+                if d >= depth:
+                    yield d, first, i + 1
+            if h and (not stack or stack[-1][0] < h):
+                stack.append((h, first))
+
+    def maximal(self, words, row, depth):
+        """Maximal repeats (string depth, positions): nodes whose leaves are preceded by different words or by none."""
+        for d, a, z in self.nodes(depth):
+            at = self.suffix[a:z]
+            before = {int(words[i - 1]) if i and row[i - 1] == row[i] else -1 - int(row[i]) for i in at.tolist()}
+            if len(before) > 1:
+                yield d, np.sort(at)
+
+
+def _numbers(buf, start, end):
+    """Exact numbers of words."""
+    import pyarrow as pa
+
+    n = end - start
+    off = np.append(0, np.cumsum(n))
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    data = buf[np.cumsum(inside[:-1]).astype(bool)]
+    if off[-1] < 2**31:
+        column = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
+    else:
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+    return np.asarray(column.dictionary_encode().indices).astype(np.int64)
 
 
 def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
@@ -83,14 +156,22 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
 
     A word goes if a window over it also starts in a document with a smaller doc_id. Rows with
     equal doc_id never remove each other's words; a null doc_id counts as larger than all others.
-    Null and empty texts have no words and an empty kept_text. An empty table gives no rows.
+    Null and empty texts have no words and an empty kept_text. An empty table gives no rows; other columns of docs are
+    ignored. Rows are dealt into groups by a hash of the whole row and its input partition, so many rows of one doc_id, or none, spread.
     """
     import pyarrow as pa
 
-    groups = 2 * partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(2 * partitions(spark), -(-size // GROUP_BYTES))
     heavy = max(32, groups // 8)
-    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_ID))
-    texts = docs.select(ident.alias("id"), "text", F.pmod(F.xxhash64(ident), F.lit(groups)).cast("int").alias("p"))
+    ident = F.col("doc_id").cast("long")
+    texts = docs.select(ident.alias("id"), "text", F.pmod(F.xxhash64(ident, "text", F.spark_partition_id()), F.lit(groups)).cast("int").alias("p"))
+
+    def known_ids(column):
+        """Numbers with LAST for null, and which of them are null."""
+        null = np.asarray(column.is_null())
+        return np.asarray(column.fill_null(LAST)), null
 
     def report(table):
         w = Words(table.column("text"), window)
@@ -133,10 +214,11 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
         whole = gram_hashes(w.hash, window)
         key = np.where(long[a], whole[win[a]], of[a])
         lo, hi = w.start[win[a]], w.end[win[z] + window - 1]
-        ids = np.asarray(left.column("id"))[w.row[win[a]]]
+        ids, null = known_ids(left.column("id"))
+        row = w.row[win[a]]
         raw, seen = w.buf.tobytes(), {}
-        keys, segments, low, high = [], [], [], []
-        for k, b, e, i in zip(key.tolist(), lo.tolist(), hi.tolist(), ids.tolist()):
+        keys, segments, low, high, missing = [], [], [], [], []
+        for k, b, e, i, m in zip(key.tolist(), lo.tolist(), hi.tolist(), ids[row].tolist(), null[row].tolist()):
             s = raw[b:e]
             j = seen.setdefault(s, len(segments))
             if j == len(segments):
@@ -144,36 +226,43 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
                 segments.append(s)
                 low.append(i)
                 high.append(i)
-            elif i < low[j]:
+                missing.append(int(m))
+                continue
+            if m != missing[j]:
+                missing[j] = 2
+            if i < low[j]:
                 low[j] = i
             elif i > high[j]:
                 high[j] = i
-        rows = [(b, _pack([segments[j] for j in x], [low[j] for j in x], [high[j] for j in x])) for b, x in ((b, x.tolist()) for b, x in split(np.array(keys, np.uint64), groups))]
+        rows = [(b, _pack(*([y[j] for j in x] for y in (segments, low, high, missing)))) for b, x in ((b, x.tolist()) for b, x in split(np.array(keys, np.uint64), groups))]
         p = left.column("p")[0].as_py()
         return pa.table({"prefix": pa.array([b for b, _ in rows], pa.int32()), "p": pa.array([p] * len(rows), pa.int32()), "data": pa.array([d for _, d in rows], pa.binary())})
 
     def grow(table):
-        sizes, lows, highs, raw = zip(*[_unpack(x.as_py()) for x in table.column("data")])
+        sizes, lows, highs, nulls, raw = zip(*[_unpack(x.as_py()) for x in table.column("data")])
         owner = np.repeat(np.array(table.column("p").to_pylist()), [len(s) for s in sizes])
-        size, low, high = np.concatenate(sizes), np.concatenate(lows), np.concatenate(highs)
+        size, low, high, null = (np.concatenate(x) for x in (sizes, lows, highs, nulls))
         buf, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum(size))
         start, end, row = word_spans(buf, off, lut("space"))
-        symbols = word_hashes(buf, start, end)
-        node = tree_nodes(symbols, row, window)
-        leaf = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
-        whole = gram_hashes(symbols, window)[leaf]
-        node, row = node[leaf], row[leaf]
-        order = np.argsort(node, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(node[order]) != 0))
-        least = np.empty(len(node), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(low[row][order], first), np.diff(np.append(first, len(order))))
-        back = least < high[row]
-        who, whole, least = owner[row][back], whole[back], least[back]
+        words = _numbers(buf, start, end)
+        tree = Subtree(words, row, window, window)
+        first = tree.deep(window)
+        many = np.diff(first)
+        leaf = row[tree.suffix]
+        least = np.minimum.reduceat(low[leaf], first[:-1]) if len(leaf) else low[:0]
+        none = np.logical_and.reduceat(null[leaf] == 1, first[:-1]) if len(leaf) else np.zeros(0, bool)  # all doc_ids of the node are null
+        least, none = np.repeat(least, many), np.repeat(none, many)
+        some = null[leaf] > 0  # the largest doc_id of the leaf is null
+        back = np.flatnonzero(np.where(some, ~none, ~none & (least < high[leaf])))
+        who, at = owner[leaf[back]], tree.suffix[back]
+        order = np.lexsort((at, who))
+        who, at, least = who[order], at[order], least[back][order]
+        whole = gram_hashes(word_hashes(buf, start, end), window)[at]
+        bounds = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else at
         out = []
-        for p in np.unique(who).tolist():
-            mine = who == p
-            h, at = np.unique(whole[mine], return_index=True)
-            out.append((p, h.tobytes(), least[mine][at].tobytes()))
+        for a, z in zip(bounds.tolist(), [*bounds[1:].tolist(), len(who)]):
+            h, one = np.unique(whole[a:z], return_index=True)
+            out.append((int(who[a]), h.tobytes(), least[a:z][one].tobytes()))
         return pa.table({"p": pa.array([o[0] for o in out], pa.int32()), "hashes": pa.array([o[1] for o in out], pa.binary()), "least": pa.array([o[2] for o in out], pa.binary())})
 
     def mark(left, right):
@@ -182,7 +271,7 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string()]
         if w is None:
             return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
-        ids = np.asarray(left.column("id"))
+        ids, null = known_ids(left.column("id"))
         gone = np.zeros(len(w.hash) + 1, np.int64)
         hashes, least = _column(right, "hashes"), _column(right, "least").view(np.int64)
         if len(hashes) and len(w.window):
@@ -190,7 +279,8 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
             hashes, least = hashes[order], least[order]
             h = gram_hashes(w.hash, window)[w.window]
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = w.window[(hashes[at] == h) & (least[at] < ids[w.row[w.window]])]
+            own = w.row[w.window]
+            hit = w.window[(hashes[at] == h) & (null[own] | (least[at] < ids[own]))]  # what comes back has a doc_id
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
@@ -209,7 +299,7 @@ def repeats(docs: DataFrame, window=WINDOW) -> DataFrame:
                 kept.append(b" ".join([raw[s[i] : e[i]] for i in range(a, z) if not plain[i]]))
             else:
                 kept.append(b" ".join(raw[w.off[r] : w.off[r + 1]].split()))
-        known = pa.array(ids, pa.int64(), mask=ids == MAX_ID)
+        known = pa.array(ids, pa.int64(), mask=null)
         cols = [known, np.diff(bounds), removed, starts, ends, pa.array(kept, pa.binary()).cast(pa.string())]
         return pa.table({n: c if isinstance(c, pa.Array) else pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
 

@@ -72,6 +72,39 @@ def test_substring_dedup_null_ids_and_empty(spark):
     assert suffix_dedup.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substring_dedup_extreme_ids_and_names(spark):
+    t, u = (" ".join(f"{x}{i}" for i in range(20)) for x in "wu")
+    rows = [(2**63 - 1, t), (None, t), (-(2**63), u), (5, u + "\n" + t), (None, None), (7, "")]
+    d = spark.createDataFrame([(i, x, 1, "k") for i, x in rows], "doc_id long, text string, p int, kept_text string")
+    got = {r.doc_id if r.n_words or r.doc_id else "none": r.n_removed for r in suffix_dedup.repeats(d).collect()}
+    assert got == {2**63 - 1: 20, None: 20, -(2**63): 0, 5: 20, "none": 0, 7: 0}
+
+
+def test_subtree_against_brute_force():
+    r = random.Random(9)
+    for _ in range(60):
+        rows = [[r.randrange(3) for _ in range(r.choice([0, 1, 4, 9]))] for _ in range(5)]
+        words, row = np.array([w for x in rows for w in x], np.int64), np.repeat(np.arange(5), [len(x) for x in rows])
+        tree = suffix_dedup.Subtree(words, row, 1, 10)
+        suffix = lambda i: words[i : np.searchsorted(row, row[i], side="right")].tolist()
+        assert [suffix(i) for i in tree.suffix.tolist()] == sorted(suffix(i) for i in range(len(words)))
+        found = {}
+        for i in range(len(words)):
+            for n in range(1, len(suffix(i)) + 1):
+                found.setdefault(tuple(suffix(i)[:n]), []).append(i)
+
+        def one_side(places, n, step):
+            """Whether all places go on alike on that side."""
+            at = [i - 1 if step < 0 else i + n for i in places]
+            inside = [0 <= j < len(words) and row[j] == row[i] for i, j in zip(places, at)]
+            return all(inside) and len({int(words[j]) for j in at}) == 1
+
+        want = {(len(k), tuple(v)) for k, v in found.items() if len(v) > 1 and not one_side(v, len(k), -1) and not one_side(v, len(k), 1)}
+        assert {(d, tuple(p.tolist())) for d, p in tree.maximal(words, row, 1)} == want
+        first = tree.deep(2)
+        assert sorted(map(sorted, (tree.suffix[a:z].tolist() for a, z in zip(first[:-1], first[1:]) if z - a > 1))) == sorted(v for k, v in found.items() if len(k) == 2 and len(v) > 1)
+
+
 def test_near_duplicates(docs):
     sets = {}
     for i, t in _known(docs).items():
