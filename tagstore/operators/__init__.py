@@ -8,13 +8,15 @@ def running(df: DataFrame, key: str, order, amount: Column, out: str) -> DataFra
     """Add the running total of amount in order of key, then `order`, without one global window.
 
     Totals are made for each range of the key, the range offsets are a table of one row for each
-    range, and windows run inside the ranges. Rows of one key stay in one range. Null keys come first.
+    range, and windows run inside the ranges. A job over the keys alone finds the range bounds first, as a sort's does (as a
+    part of the plan they would double it with each use); rows find their range by halving. Rows of one key stay in one
+    range. Null keys come first.
     """
     width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = df.select(F.percentile_approx(key, [i / width for i in range(1, width)] or [0.5], 10000).alias("b")).first()["b"] or []
-    part = F.lit(0)
-    for b in sorted(set(bounds)):
-        part = part + F.coalesce((F.col(key) > F.lit(b)).cast("int"), F.lit(0))
+    ends = df.select(F.percentile_approx(key, [i / width for i in range(1, width)] or [0.5], 10000).alias("b")).first()["b"] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(ends))]) if ends else F.array().cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(width.bit_length()))])
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < F.col(key), at + step).otherwise(at))
     ranged = df.withColumn("_part", part).withColumn("_amount", amount)
     sizes = ranged.groupBy("_part").agg(F.sum("_amount").alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
@@ -90,12 +92,23 @@ def resolve(versions: DataFrame, merge=F.sum, snapshot=None) -> DataFrame:
     return visible_stack(versions, snapshot).groupBy("key").agg(merge("value").alias("value"), F.count("*").alias("stack"))
 
 
-def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, ts: str, value: str) -> DataFrame:
-    """Each probe with the newest value of its key at or before its time: one union, one window per key, no range join."""
-    p = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast(dict(versions.dtypes)[value]).alias("_v"))
-    v = versions.select(F.col(key), F.col(ts).alias("_t"), F.lit(0).alias("_probe"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    return p.union(v).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_probe = 1").select(key, F.col("_t").alias(at), F.col("_v").alias(value))
+def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, ts: str, value: str, cell: int) -> DataFrame:
+    """Each probe with the newest value of its key at or before its time, else null; of equal times the greatest value counts.
+
+    Windows run inside cells of a key's time, `cell` wide, so that a hot key is spread over tasks; what a cell takes over
+    from the key's cells before it comes from a table of one row for each cell that is not empty. Null keys and times match nothing.
+    """
+    held = f"struct<t:{dict(versions.dtypes)[ts]},v:{dict(versions.dtypes)[value]}>"
+    p = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast(held).alias("_v"))
+    v = versions.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    v = v.select(F.col(key), F.col(ts).alias("_t"), F.lit(0).alias("_probe"), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")).alias("_v"))
+    both = p.union(v).withColumn("_cell", F.floor(F.col("_t").cast("long") / cell))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    tops = both.groupBy(key, "_cell").agg(F.max("_v").alias("_top"))
+    carried = tops.select(key, "_cell", F.last("_top", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy(key, "_cell").orderBy("_t", "_probe", "_v.v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).filter("_probe = 1")
+    return found.join(carried, [key, "_cell"], "left").select(key, F.col("_t").alias(at), F.coalesce("_in", "_carry")["v"].alias(value))
 
 
 def delete_ranges(versions: DataFrame, ranges: DataFrame, cell: int) -> DataFrame:
@@ -126,15 +139,18 @@ def expired(rows: DataFrame, ts: str, ttl: int, now) -> Column:
     return (F.lit(ttl) > 0) & (F.col(ts) + F.lit(ttl) < now)
 
 
-# -- merge operators: aggregates over operands in order of seq
+# -- merge operators: operands in order of seq
 def append_operands(value: str, seq: str, delimiter=",") -> Column:
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))))
     return F.concat_ws(delimiter, F.transform(ordered, lambda x: x["value"].cast("string")))
 
 
-def last_n(value: str, seq: str, n=3) -> Column:
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))), asc=False)
-    return F.concat_ws(",", F.transform(F.slice(ordered, 1, n), lambda x: x["value"].cast("string")))
+def last_n(operands: DataFrame, key: str, value: str, seq: str, out: str, n=3) -> DataFrame:
+    """key and the last n operands, newest first; a rank with a limit, so that a task sends n rows of a key at most."""
+    newest = Window.partitionBy(key).orderBy(F.desc(seq), F.desc(value))
+    kept = operands.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(value).alias("value"))))
+    return kept.groupBy(key).agg(F.concat_ws(",", F.transform(ordered, lambda x: x["value"].cast("string"))).alias(out))
 
 
 def sorted_list(value: str) -> Column:

@@ -103,7 +103,7 @@ def merge_append(s, d):
 @query(f"WITH {VER}, o AS (SELECT key, seq, min(op) AS op FROM v GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM o) SELECT key, string_agg(op, ',' ORDER BY seq DESC) AS last3 FROM n WHERE rn <= 3 GROUP BY key")
 def merge_last3(s, d):
     one = _vers(s, d).groupBy("key", "seq").agg(F.min("op").alias("op"))
-    return one.groupBy("key").agg(last_n("op", "seq").alias("last3"))
+    return last_n(one, "key", "op", "seq", "last3")
 
 
 @query("SELECT l_orderkey AS key, bit_xor(l_partkey) AS x, sum(l_linenumber)::BIGINT AS added FROM lineitem GROUP BY 1")
@@ -129,7 +129,7 @@ def as_of_join(s, d):
     e = table(s, d, "events")
     p = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"))
     v = e.filter("event_type = 'click'").select(F.col("user_id").alias("k"), F.col("event_id").alias("ts"), "value")
-    return as_of(p, v, "k", "at", "ts", "value")
+    return as_of(p, v, "k", "at", "ts", "value", 1 << 20)
 
 
 @query("WITH b AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer), x AS (SELECT o_custkey AS key, CASE WHEN max(o_orderkey) % 5 = 0 THEN 'delete' ELSE 'put' END AS op, max(o_totalprice) AS value FROM orders GROUP BY 1) SELECT coalesce(b.key, x.key) AS key, coalesce(x.value, b.value) AS value FROM b FULL JOIN x ON b.key = x.key WHERE x.op IS NULL OR x.op <> 'delete'")

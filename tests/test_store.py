@@ -3,10 +3,10 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tagstore.functions import align, bin_factor, geometric_weights
-from tagstore.operators import bucket_weights
+from tagstore.operators import as_of, bucket_weights, last_n, running
 from tagstore.operators import store as ops
 
 # Fixed values of the golden cases: four buckets over [1, 100], range length 9, overhead 2; and loads up to 8 with epsilon 1.
@@ -100,3 +100,33 @@ def test_varint(spark, n):
         if not x:
             break
     assert spark.range(1).select(ops.varint_hex(F.lit(n).cast("long")).alias("v")).first().v == bytes(want).hex()
+
+
+def test_as_of_across_cells(spark):
+    """A hot key over many cells, probes before the first version, equal times, null values, keys and times."""
+    versions = [(1, t, t * 7 % 11) for t in range(5, 400, 13)] + [(1, 18, 100), (1, 200, None), (2, -30, 1), (None, 3, 9), (2, None, 9)]
+    probes = [(1, t) for t in range(0, 420, 3)] + [(1, 18), (2, -31), (2, 500), (3, 1), (None, 3), (2, None)]
+    got = as_of(spark.createDataFrame(probes, "k int, at long"), spark.createDataFrame(versions, "k int, ts long, v int"), "k", "at", "ts", "v", 10)
+
+    def newest(k, at):
+        older = [(t, -1 if v is None else v) for key, t, v in versions if None not in (k, at, t) and key == k and t <= at]
+        return None if not older or max(older)[1] < 0 else max(older)[1]
+
+    assert sorted(map(repr, got.collect())) == sorted(repr(Row(k=k, at=at, v=newest(k, at))) for k, at in probes)
+
+
+def test_running_over_skewed_keys(spark):
+    """Nulls first, a key with half of all rows, more ranges than keys, only nulls and no rows."""
+    keys = [None, None, *[7] * 40, *range(-20, 20)]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key int, i int")
+    want = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    got = running(rows, "key", ("i",), F.lit(1).cast("long"), "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(1, len(keys) + 1)) and [r.i for r in got] == want
+    assert [r.n for r in running(rows.filter("key IS NULL"), "key", ("i",), F.lit(1).cast("long"), "n").collect()] == [1, 2]
+    assert running(rows.filter("i < 0"), "key", ("i",), F.lit(1).cast("long"), "n").count() == 0
+
+
+def test_last_n(spark):
+    rows = spark.createDataFrame([(1, i, i * i) for i in range(50)] + [(2, 5, 1), (2, 5, 2), (3, 1, None)], "key int, seq int, v int")
+    got = {r.key: r.last for r in last_n(rows, "key", "v", "seq", "last").collect()}
+    assert got == {1: "2401,2304,2209", 2: "2,1", 3: ""}
