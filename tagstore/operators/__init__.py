@@ -1,5 +1,7 @@
 """Operators on records, versions, buckets and traces, as DataFrame transformations."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -52,23 +54,41 @@ def range_records(queries: DataFrame, records: DataFrame, cell: int) -> DataFram
     return q.join(r, "_cell").filter(F.col("key").between(F.col("left"), F.col("right"))).select("qid", "key", "op", "ts", "val")
 
 
+def ieee_divide(x: Column, y: Column, zero: float = 0.0) -> Column:
+    """x / y of floating-point numbers by IEEE 754, as in SQL engines that follow it; Spark raises or returns null at zero. zero: the sign that a zero y counts with."""
+    inf = F.lit(math.copysign(math.inf, zero))
+    at_zero = F.when(F.isnan(x) | (x == 0), F.lit(math.nan)).when(x > 0, inf).when(x < 0, -inf)
+    return F.when(y == 0, at_zero).otherwise(x / F.nullif(y, F.lit(0)))
+
+
+def signed_round(x: Column, digits: int) -> Column:
+    """x rounded, where what rounds to zero from below keeps its sign, as in IEEE 754; Spark's own round drops it."""
+    return F.when((F.round(x, digits) == 0) & (x < 0), F.lit(-0.0)).otherwise(F.round(x, digits))
+
+
 def bucket_weights(tags_: DataFrame, lo: int, hi: int, range_len: int) -> DataFrame:
-    """Probability that a uniform range query touches a bucket, normalised to sum 1."""
+    """Probability that a uniform range query touches a bucket, normalised to sum 1.
+
+    The formula holds for buckets inside [lo, hi]; those outside get what it gives there, which may be below zero.
+    """
     n, r = hi - lo + 1, range_len
     x = F.least(F.lit(r + 1), F.col("left") - lo)
     y = F.least(F.lit(r + 1), F.lit(hi) - F.col("right"))
     w = 1 - (2 * F.col("left") - 1 - x) / (2.0 * n - r) * x / (r + 1.0) - (2 * n - 2 * F.col("right") + 1 - y) / (2.0 * n - r) * y / (r + 1.0)
     raw = tags_.withColumn("_w", w)
     total = raw.agg(F.sum("_w").alias("_t"))
-    return raw.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_w") / F.col("_t")).drop("_w", "_t")
+    return raw.crossJoin(F.broadcast(total)).withColumn("weight", ieee_divide(F.col("_w"), F.col("_t"))).drop("_w", "_t")
 
 
 def replicas(weights: DataFrame, overhead: float) -> DataFrame:
-    """Copies of each bucket, and the weight of real and of fake reads of each copy."""
+    """Copies of each bucket, and the weight of real and of fake reads of each copy.
+
+    A weight below zero may round up to no copies, a zero with the sign of the weight; the weight of a fake read is infinite then.
+    """
     n = weights.agg(F.count("*").alias("_b"))
     alpha, delta = 1.0 / (overhead - 1), (overhead - 1) / overhead
     out = weights.crossJoin(F.broadcast(n)).withColumn("copies", F.ceil(F.col("weight") * F.col("_b") / F.lit(alpha)).cast("long"))
-    fake = (F.lit(alpha) / F.col("_b") - F.col("weight") / F.col("copies")) / F.lit(1 / delta - 1)
+    fake = (F.lit(alpha) / F.col("_b") - ieee_divide(F.col("weight"), F.col("copies"), -0.0)) / F.lit(1 / delta - 1)
     return out.withColumn("fake_weight", fake).drop("_b")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from ..functions import convolve, geometric_pmf, level_schedule
-from ..operators import append_operands, as_of, bucket_weights, bucketise, bursts, conflicts, delete_ranges, last_n, latest, multi_get, overlap, overlay, range_records, replicas, resolve, reuse_gaps, sorted_list, tags, transitions
+from ..operators import append_operands, as_of, bucket_weights, bucketise, bursts, conflicts, delete_ranges, last_n, latest, multi_get, overlap, overlay, range_records, replicas, resolve, reuse_gaps, signed_round, sorted_list, tags, transitions
 from ..sources import records, table, versions
 from ._registry import ORACLE_SQL, QUERIES, query
 
@@ -68,7 +68,7 @@ def range_containment(s, d):
 @query(f"WITH {BKT}, w AS (SELECT *, 1 - (2*\"left\" - 1 - least(101, \"left\" - 1)) / (2.0::DOUBLE*1000000 - 100) * least(101, \"left\" - 1) / 101.0::DOUBLE - (2000000 - 2*\"right\" + 1 - least(101, 1000000 - \"right\")) / (2.0::DOUBLE*1000000 - 100) * least(101, 1000000 - \"right\") / 101.0::DOUBLE AS w FROM t), x AS (SELECT *, w / sum(w) OVER () AS weight, count(*) OVER () AS nb FROM w) SELECT bucket_no, round(weight, 9) AS weight, ceil(weight * nb / (1.0::DOUBLE))::BIGINT AS copies, round((1.0::DOUBLE / nb - weight / ceil(weight * nb)) / 1.0::DOUBLE, 9) + 0.0 AS fake_weight FROM x")
 def bucket_replicas(s, d):
     out = replicas(bucket_weights(tags(bucketise(_recs(s, d), CAPACITY)), 1, 1000000, 100), 2.0)
-    return out.select("bucket_no", F.round("weight", 9).alias("weight"), "copies", (F.round("fake_weight", 9) + 0.0).alias("fake_weight"))
+    return out.select("bucket_no", signed_round(F.col("weight"), 9).alias("weight"), "copies", (F.round("fake_weight", 9) + 0.0).alias("fake_weight"))
 
 
 @query(f"WITH {REC}, x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, op DESC, val DESC) AS rn FROM r) SELECT key, ts, val FROM x WHERE rn = 1 AND op <> 2")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from tagstore.functions import align, bin_factor, geometric_weights
-from tagstore.operators import as_of, bucket_weights, last_n, running
+from tagstore.operators import as_of, bucket_weights, last_n, replicas, running, signed_round
 from tagstore.operators import store as ops
 
 # Fixed values of the golden cases: four buckets over [1, 100], range length 9, overhead 2; and loads up to 8 with epsilon 1.
@@ -27,6 +27,29 @@ def test_replicas_with_dummies(spark):
     assert sum(r.copies for r in got) == 8
 
 
+BEYOND = [(0, 0, 255), (1, 256, 511), (2, 999900, 1200000), (3, 3000000, 3000255), (4, 8999000, 8999999)]  # of [1, 1000000]
+
+
+def _beyond(spark, sql):
+    """Weights of these buckets, some below zero so that no copies are left, and what DuckDB makes of them."""
+    import duckdb
+
+    weights = bucket_weights(spark.createDataFrame(BEYOND, "bucket_no long, left long, right long"), 1, 1000000, 100).select("bucket_no", "weight")
+    x = weights.toPandas()  # noqa: F841  read by DuckDB
+    return weights, duckdb.sql(sql).fetchall()
+
+
+def test_replicas_of_keys_beyond_the_domain(spark):
+    weights, want = _beyond(spark, "SELECT bucket_no, ceil(weight * 5)::BIGINT, round(1.0::DOUBLE / 5 - weight / ceil(weight * 5), 9) FROM x ORDER BY 1")
+    got = replicas(weights, 2.0).orderBy("bucket_no").select("bucket_no", "copies", F.round("fake_weight", 9)).collect()
+    assert [tuple(r) for r in got] == want and -math.inf in [r[2] for r in want]
+
+
+def test_signed_round(spark):
+    got = spark.sql("SELECT explode(array(-1e-12D, 1e-12D, -0.25D)) AS x").select(signed_round(F.col("x"), 9)).collect()
+    assert [repr(r[0]) for r in got] == ["-0.0", "0.0", "-0.25"]
+
+
 def test_load_weights():
     w = geometric_weights(8, 1.0)
     assert all(abs(a - b) < 5e-7 for a, b in zip(w, WEIGHTS)) and w == w[::-1] and abs(sum(w) - WEIGHT_SUM) < 1e-6
