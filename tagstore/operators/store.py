@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import hash_uniform, laplace
-from . import running
+from . import ieee_divide, running
 
 
 # -- noise and loads
@@ -52,13 +52,16 @@ def weighted_pick(draws: DataFrame, u: str, choices: DataFrame, name: str, weigh
 
 
 def replica_weights(weights: DataFrame, overhead: float) -> DataFrame:
-    """bucket_no, copies, real_weight, fake_weight, is_dummy: one row for each bucket, and one for the dummies behind them."""
+    """bucket_no, copies, real_weight, fake_weight, is_dummy: one row for each bucket, and one for the dummies behind them.
+
+    A weight below zero may round up to no copies, a zero without a sign; the weight of a fake read is infinite then.
+    """
     alpha, delta = 1.0 / (overhead - 1), (overhead - 1) / overhead
     n = weights.agg(F.count("*").alias("_b"))
     rows = weights.crossJoin(F.broadcast(n)).withColumn("copies", F.ceil(F.col("weight") * F.col("_b") / F.lit(alpha)).cast("long"))
     level = F.lit(alpha) / F.col("_b")
     fake = lambda w: w / F.lit(1 / delta - 1)
-    real = rows.select("bucket_no", "copies", F.col("weight").alias("real_weight"), fake(level - F.col("weight") / F.col("copies")).alias("fake_weight"), F.lit(False).alias("is_dummy"))
+    real = rows.select("bucket_no", "copies", F.col("weight").alias("real_weight"), fake(level - ieee_divide(F.col("weight"), F.col("copies"))).alias("fake_weight"), F.lit(False).alias("is_dummy"))
     rest = rows.agg(F.max("_b").alias("_b"), F.sum("copies").alias("_c"))
     dummy = rest.select(F.col("_b").alias("bucket_no"), (F.ceil(F.col("_b") * F.lit(overhead)) - F.col("_c")).cast("long").alias("copies"), F.lit(0.0).alias("real_weight"), fake(level).alias("fake_weight"), F.lit(True).alias("is_dummy"))
     return real.unionByName(dummy)

@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from . import BKT, CAPACITY, CELL, REC, _qlog, _recs, _vers
 from ..functions import geometric_weights, hash_uniform
-from ..operators import bucket_weights, bucketise, overlap, running, tags
+from ..operators import bucket_weights, bucketise, overlap, running, signed_round, tags
 from ..operators import store as ops
 from ..operators.layers import floor_lookup
 from ..sources import table
@@ -66,7 +66,7 @@ def _weights(s, d):
 @query(f"WITH {WEIGHTS}, x AS (SELECT bucket_no, w / sum(w) OVER () AS weight, count(*) OVER () AS b FROM w), c AS (SELECT *, ceil(weight * b / (1 / 0.5::DOUBLE))::BIGINT AS copies FROM x) SELECT bucket_no, copies, round(weight, 9) AS real_weight, round((2.0::DOUBLE / b - weight / copies) / (3.0::DOUBLE - 1), 9) + 0.0 AS fake_weight, false AS is_dummy FROM c UNION ALL SELECT max(b), (ceil(max(b) * 1.5) - sum(copies))::BIGINT, 0.0, round((2.0::DOUBLE / max(b)) / (3.0::DOUBLE - 1), 9), true FROM c")
 def replica_weights(s, d):
     out = ops.replica_weights(_weights(s, d).select("bucket_no", "weight"), 1.5)
-    return out.select("bucket_no", "copies", F.round("real_weight", 9).alias("real_weight"), (F.round("fake_weight", 9) + 0.0).alias("fake_weight"), "is_dummy")
+    return out.select("bucket_no", "copies", signed_round(F.col("real_weight"), 9).alias("real_weight"), (F.round("fake_weight", 9) + 0.0).alias("fake_weight"), "is_dummy")
 
 
 @query(f"WITH {BKT}, p AS (SELECT c_custkey AS draw, {U.format('c_custkey')} AS u FROM customer), c AS (SELECT bucket_no, floor((sum(n) OVER (ORDER BY bucket_no) - n) / (sum(n) OVER ())::DOUBLE * 1099511627776)::BIGINT AS lo FROM t) SELECT draw, bucket_no FROM (SELECT draw, floor(u * 1099511627776)::BIGINT AS pos FROM p) z ASOF JOIN c ON z.pos >= c.lo")

@@ -50,6 +50,12 @@ def test_signed_round(spark):
     assert [repr(r[0]) for r in got] == ["-0.0", "0.0", "-0.25"]
 
 
+def test_replica_weights_of_keys_beyond_the_domain(spark):
+    weights, want = _beyond(spark, "WITH c AS (SELECT *, ceil(weight * 5 / 2)::BIGINT AS copies FROM x) SELECT bucket_no, copies, round((2.0::DOUBLE / 5 - weight / copies) / 2, 9) FROM c ORDER BY 1")
+    got = ops.replica_weights(weights, 1.5).filter("not is_dummy").orderBy("bucket_no").select("bucket_no", "copies", F.round("fake_weight", 9)).collect()
+    assert [tuple(r) for r in got] == want and math.inf in [r[2] for r in want]
+
+
 def test_load_weights():
     w = geometric_weights(8, 1.0)
     assert all(abs(a - b) < 5e-7 for a, b in zip(w, WEIGHTS)) and w == w[::-1] and abs(sum(w) - WEIGHT_SUM) < 1e-6
