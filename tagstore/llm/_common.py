@@ -4,6 +4,7 @@ Arrow batches are bounded in bytes by spark.sql.execution.arrow.maxBytesPerBatch
 the length of texts; workers cut them further where they need more memory than the text.
 """
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -51,6 +52,47 @@ def release(spark, *dfs):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+AUTO_BROADCAST = 256 << 10  # bytes of a table or exchange, compressed, up to which Spark may choose to broadcast it
+
+
+@contextlib.contextmanager
+def small_broadcasts(spark):
+    """While this lasts, Spark itself broadcasts only small tables, and before as after what the session says.
+
+    Spark judges a table by its bytes in files, and tables of numbers are many times as large in the driver's
+    memory, where several are built at once. Broadcasts that the code asks for are not concerned.
+    """
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    state = spark._jsparkSession.sessionState().conf()
+    adaptive = state.getConf(spark._jvm.org.apache.spark.sql.internal.SQLConf.ADAPTIVE_AUTO_BROADCASTJOIN_THRESHOLD())
+    least = min(AUTO_BROADCAST, state.autoBroadcastJoinThreshold())
+    try:
+        for k, now in zip(kept, (least, min(AUTO_BROADCAST, adaptive.get()) if adaptive.isDefined() else least)):
+            spark.conf.set(k, now)
+        yield
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bitmaps(numbers, column):
+    """A set of whole numbers from 0 up, one bit each: _block and _map, a row of 4 KB for each block of 32,768 numbers that holds any."""
+    from pyspark.sql import functions as F
+
+    bits = numbers.select(F.bitmap_bucket_number(column).alias("_block"), F.bitmap_bit_position(column).alias("_bit")).repartition("_block")
+    return bits.groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+
+
+def within(rows, number, maps):
+    """The rows whose number is in the set. The maps are broadcast, so the rows are not dealt out."""
+    from pyspark.sql import functions as F
+
+    bit = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(number) == F.col("_block"))
+    return met.filter(F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).drop("_block", "_map")
+
+
 def drop_unused_shuffles(spark):
     """Shuffle files go when the driver's garbage is collected; ask for that between large steps."""
     import gc

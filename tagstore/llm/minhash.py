@@ -11,13 +11,14 @@ Candidates are confirmed on full sets of 64-bit shingle hashes.
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, release, split, stored, text_buffer, word_hashes, word_spans
+from ._common import bitmaps, drop_unused_shuffles, gram_hashes, lower_ascii, lut, mix, partitions, release, small_broadcasts, split, stored, text_buffer, within, word_hashes, word_spans
 from ._graph import components
 
 SYMBOLS, CHUNKS = 64, 16
 SHINGLE, SIMILAR = 5, (75, 100)
 FARTHEST = 36  # differing symbols beyond which a candidate is not confirmed: at 0.75 that has a probability below 1e-7
 BROADCAST_IDS = 1_000_000  # about 105 MB as a broadcast table
+MOST_BITS = 1 << 27  # of a set that is broadcast as bitmaps: 16 MB
 HOT = 1000  # a class with more than one in so many rows is broadcast instead of dealt out by its key
 CROWD, BLOCK = 100, 512  # members of a crowded key; documents of a block in which a crowd is compared
 
@@ -96,13 +97,16 @@ def signatures(docs: DataFrame, row=None) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and set (sorted hashes) of the classes wanted (id, doc_id, set_key); their doc_ids, broadcast if there are few, only spare reading other texts."""
+    """id and set (sorted hashes) of the classes wanted (id, doc_id, set_key).
+
+    Hashes of their doc_ids, one bit in 16 or more, are broadcast and only spare reading other texts; what
+    else gets through is dropped by set_key.
+    """
     import pyarrow as pa
 
-    ids = wanted.select("doc_id").distinct()
-    n = ids.limit(BROADCAST_IDS + 1).count()
-    rows, ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids.withColumnRenamed("doc_id", "_wanted")
-    rows = rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    most = F.lit(max(1, min(16 * wanted.count(), MOST_BITS)))
+    place = F.pmod(F.xxhash64("doc_id"), most)
+    rows = within(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), place, bitmaps(wanted, place)).select("doc_id", "text")
 
     def made(b, lo, hi, buf, off):
         sets = shingle_sets(buf, off)
@@ -303,6 +307,11 @@ def near_duplicates(docs: DataFrame, similar=SIMILAR, row=None) -> DataFrame:
     must be a whole number or null; other columns of docs are ignored. An empty table gives no rows. The result is a stored
     table; all that leads to it is deleted.
     """
+    with small_broadcasts(docs.sparkSession):
+        return _searched(docs, similar, row)
+
+
+def _searched(docs, similar, row):
     spark = docs.sparkSession
     num, den = similar
     table = signatures(docs, row)
