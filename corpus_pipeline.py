@@ -5,7 +5,7 @@ such documents as often as its source's rate says. Repeated rows are copies: nea
 empty, and columns may have any names.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tagstore.llm import _common, huffman, minhash, mixing, suffix_search, toxicity
 
@@ -18,14 +18,25 @@ def _toxicity(spark, docs, sf_dir):
 def _near_dedup(spark, docs, sf_dir):
     """One document of each group of near duplicates: one with the smallest doc_id, nulls last. Documents without words stay.
 
-    Rows are told apart by their place in the files of docs, by a hash of 64 bits, since doc_ids may be null or repeated.
+    Rows are told apart by their number in the files of docs, since doc_ids may be null or repeated: a file's rows follow
+    those of the files before it. So the rows kept are one bit each, and texts are not dealt out for them.
     """
-    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), place)
-    near = minhash.near_duplicates(rows.select("doc.doc_id", "doc.text", "row"), row="row")
-    kept = near.filter("kept").select("row")
-    few = kept.limit(minhash.BROADCAST_IDS + 1).count() <= minhash.BROADCAST_IDS
-    return rows.join(F.broadcast(kept) if few else kept, "row", "left_semi").select("doc.*")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("index")]
+    sizes = docs.select(*place).groupBy("file").agg((F.max("index") + 1).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    files = _common.stored(spark, sizes.select("file", before.alias("before")), "files")
+
+    def numbered(*columns):
+        rows = docs.select(*columns, *place).join(F.broadcast(files), "file")
+        return rows.withColumn("row", F.col("before") + F.col("index")).drop("file", "index", "before")
+
+    near = minhash.near_duplicates(numbered("doc_id", "text"), row="row")
+    kept = _common.stored(spark, near.filter("kept").select("row"), "kept")
+    _common.release(spark, near)
+    rows = numbered(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    if (kept.agg(F.max("row")).first()[0] or 0) < minhash.MOST_BITS:
+        return _common.within(rows, F.col("row"), _common.bitmaps(kept, "row")).select("doc.*")
+    return rows.join(kept.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def _decontamination(spark, docs, sf_dir):

@@ -17,7 +17,6 @@ from ._graph import components
 SYMBOLS, CHUNKS = 64, 16
 SHINGLE, SIMILAR = 5, (75, 100)
 FARTHEST = 36  # differing symbols beyond which a candidate is not confirmed: at 0.75 that has a probability below 1e-7
-BROADCAST_IDS = 1_000_000  # about 105 MB as a broadcast table
 MOST_BITS = 1 << 27  # of a set that is broadcast as bitmaps: 16 MB
 HOT = 1000  # a class with more than one in so many rows is broadcast instead of dealt out by its key
 CROWD, BLOCK = 100, 512  # members of a crowded key; documents of a block in which a crowd is compared

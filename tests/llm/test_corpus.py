@@ -519,3 +519,19 @@ def test_bitmaps_hold_exactly_their_numbers(spark):
     maps = _common.bitmaps(spark.createDataFrame([(n,) for n in numbers], "n long"), "n")
     rows = spark.createDataFrame([(n + d,) for n in numbers for d in (-1, 0, 1) if n + d >= 0], "n long").distinct()
     assert sorted(r.n for r in _common.within(rows, F.col("n"), maps).collect()) == numbers
+
+
+def test_pipeline_near_dedup_keeps_rows_as_bits(spark, tmp_path):
+    """The rows kept of several files, with ids null and repeated and columns named as the stage's own; one bit is broadcast for each."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    one = [(None, text, 1, 1, 1), (5, "alone", 2, 2, 2), (5, "another", 3, 3, 3)]
+    two = [(4, text, 4, 4, 4), (6, None, 5, 5, 5), (4, text, 6, 6, 6), (5, "alone", 7, 7, 7)]
+    for name, rows in (("a", one), ("b", two)):
+        spark.createDataFrame(rows, "doc_id long, text string, row int, file int, `before` int").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    docs = spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b")
+    out = corpus_pipeline._near_dedup(spark, docs, None)
+    kept = sorted(r["row"] for r in out.collect())
+    assert out.columns == docs.columns and len(kept) == 4 and {3, 5} <= set(kept) and len({4, 6} & set(kept)) == len({2, 7} & set(kept)) == 1
+    assert "bitmap_construct_agg" in out._jdf.queryExecution().optimizedPlan().toString()
